@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .mixing import op8_mixing
+from .simhash import op5_simhash
 from .token_files import op2_token_files
 
 
 def queries() -> dict:
     return {
         "op2_token_files": op2_token_files,
+        "op5_simhash": op5_simhash,
+        "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.ORACLE}
