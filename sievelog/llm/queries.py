@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import mixing
 from .mixing import op8_mixing
 from .simhash import op5_simhash
+from .substrings import op7_substrings
 from .token_files import op2_token_files
 
 
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op2_token_files": op2_token_files,
         "op5_simhash": op5_simhash,
+        "op7_substrings": op7_substrings,
         "op8_mixing": op8_mixing,
     }
 
