@@ -73,6 +73,7 @@ class Scratch:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python tasks can import it anywhere."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))  # texts are long; a batch of 10,000 needn't fit a worker
     if getattr(sc, "_sievelog_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

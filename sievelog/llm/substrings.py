@@ -12,8 +12,9 @@ Words are runs of `[^\\x20\\x09-\\x0D]+`, compared through 64-bit hashes. The wo
    in ascending doc_id: a document's variants run through the automaton of all smaller documents for their matching
    statistics, spans of 50 words or more are removed, and then the variants join the automaton.
 4. Crowded keys. A key with over MAX_VARIANTS variants (a passage that thousands of documents embed in different
-   text) would make an unbounded shard. Its windows are counted one by one instead: the smallest doc_id of each
-   window's 128-bit hash, combined before the shuffle. It is exact as well, and linear.
+   text) would make an unbounded shard. Its windows are counted one by one instead: the smallest and largest doc_id of
+   each window's 128-bit hash, combined before the shuffle. The windows found in two documents are sent to all parts of
+   the key's variants, PART of them each, where spans are read off. It is exact as well, and linear.
 
 Windows are judged on the input. Null text has no words; empty and short texts lose nothing. A null doc_id counts as
 larger than all. Rows that share a doc_id do not remove each other's words; each is judged on its own text. Empty
@@ -36,6 +37,8 @@ WINDOW = 50
 GRAM = 16
 #: Variants of a key that one shard compares; beyond it windows are counted one by one.
 MAX_VARIANTS = 64
+#: Variants of a crowded key in one part.
+PART = 1000
 #: Variants in a shard, about.
 SHARD = 1500
 LAST = (1 << 63) - 1
@@ -96,8 +99,6 @@ class Automaton:
                 start = i + 1 - have
                 if out and start <= out[-1][0]:
                     out[-1] = (out[-1][0], i + 1)
-                elif out and start == out[-1][0]:
-                    out[-1] = (start, i + 1)
                 else:
                     out.append((start, i + 1))
         return _joined(out)
@@ -164,14 +165,14 @@ def _cells(batches):
 
 def _cut(batches):
     """The words of the cells asked for, as hashes."""
-    schema = pa.schema([("key", pa.int64()), ("crowded", pa.bool_()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("parts", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("words", pa.binary())])
     for part in common.chunks(batches):
         words, first, *_ = _hashed(part)
         rows: dict[str, list] = {name: [] for name in schema.names}
         for i, (doc, tag, wanted) in enumerate(zip(part.column("doc").to_pylist(), part.column("tag").to_pylist(), part.column("wanted").to_pylist())):
             for w in wanted:
                 begin = first[i] + w["at"]
-                for name, value in (("key", w["key"]), ("crowded", w["crowded"]), ("doc", doc), ("tag", tag), ("at", w["at"]), ("words", words[begin : begin + w["count"] + WINDOW - 1].tobytes())):
+                for name, value in (("key", w["key"]), ("parts", w["parts"]), ("doc", doc), ("tag", tag), ("at", w["at"]), ("words", words[begin : begin + w["count"] + WINDOW - 1].tobytes())):
                     rows[name].append(value)
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -213,23 +214,59 @@ def _shards(batches):
         at = end
 
 
+def _window_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of all windows of some word sequences, with the sequence and the place of each."""
+    sizes = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
+    words = np.frombuffer(b"".join(raw), np.uint64)
+    windows = sizes - WINDOW + 1
+    at = common.ragged(np.cumsum(sizes) - sizes, windows)
+    one = common.Spans(words).hash(at, at + WINDOW)
+    two = common.Spans(common.mix(words ^ np.uint64(0x5851F42D4C957F2D))).hash(at, at + WINDOW)
+    return one.view(np.int64), two.view(np.int64), np.repeat(np.arange(len(sizes)), windows), common.ragged(np.zeros(len(sizes), np.int64), windows)
+
+
 def _windows(batches):
     for batch in batches:
         for sub in range(0, batch.num_rows, 2048):
             part = batch.slice(sub, 2048)
-            raw = part.column("words").to_pylist()
-            sizes = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
-            if not len(sizes):
-                continue
-            words = np.frombuffer(b"".join(raw), np.uint64)
-            windows = sizes - WINDOW + 1
-            at = common.ragged(np.cumsum(sizes) - sizes, windows)
-            row = pa.array(np.repeat(np.arange(len(sizes)), windows))
-            inside = common.ragged(part.column("at").to_numpy(zero_copy_only=False).astype(np.int64), windows)
-            one, two = common.Spans(words).hash(at, at + WINDOW), common.Spans(common.mix(words ^ np.uint64(0x5851F42D4C957F2D))).hash(at, at + WINDOW)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("doc").take(row), part.column("tag").take(row), pa.array(inside, pa.int32())], ["one", "two", "doc", "tag", "begin"]
-            )
+            one, two, row, _ = _window_hashes(part.column("words").to_pylist())
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("key").take(row), pa.array(one), pa.array(two), part.column("doc").take(row), part.column("parts").take(row)], ["key", "one", "two", "doc", "parts"])
+
+
+def _read_off(batches):
+    """A task's variants (words set) and shared windows (words null): spans of windows that a smaller document has."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    known = rows.filter(rows.column("words").is_null())
+    one, two, low = (known.column(c).to_numpy() for c in ("one", "two", "doc"))
+    order = np.lexsort((low, two, one))
+    one, two, low = one[order], two[order], low[order]
+    if not len(one):
+        return
+    rows = rows.filter(rows.column("words").is_valid())
+    for sub in range(0, rows.num_rows, 2048):
+        part = rows.slice(sub, 2048)
+        first, second, row, at = _window_hashes(part.column("words").to_pylist())
+        docs, tags, starts = (part.column(c).to_numpy() for c in ("doc", "tag", "at"))
+        place = np.searchsorted(one, first)
+        hit = np.zeros(len(first), bool)
+        for step in range(_longest_run(one)):  # equal first hashes with other second ones are next to each other
+            here = np.minimum(place + step, len(one) - 1)
+            hit |= (one[here] == first) & (two[here] == second) & (low[here] < docs[row])
+        row, at = row[hit], at[hit]
+        if len(row):
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+            begin, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
+            of = row[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[of]), pa.array(tags[of]), pa.array(starts[of] + at[begin], pa.int32()), pa.array(starts[of] + at[end] + WINDOW, pa.int32())], schema=_SPANS)
+
+
+def _longest_run(values: np.ndarray) -> int:
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+    return int(np.diff(edges).max())
 
 
 def spans(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -241,19 +278,22 @@ def spans(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     variants = found.groupBy("key", "same").agg(F.min("doc").alias("owner"))
     counts = variants.groupBy("key").agg(F.count("*").alias("variants"))
     variants = variants.join(counts, "key")
-    judged = scratch.save(found.join(variants, ["key", "same"]).filter("doc > owner or variants > 1").select("key", "doc", "tag", "at", "count", F.expr("doc > owner").alias("copy"), (F.col("variants") > MAX_VARIANTS).alias("crowded")), "judged")
+    judged = scratch.save(found.join(variants, ["key", "same"]).filter("doc > owner or variants > 1").select("key", "doc", "tag", "at", "count", F.expr("doc > owner").alias("copy"), F.when(F.col("variants") > MAX_VARIANTS, F.ceil(F.col("variants") / PART)).otherwise(0).cast("int").alias("parts")), "judged")
     scratch.drop("shared")
     copies = judged.filter("copy").select("doc", "tag", F.col("at").alias("begin"), (F.col("at") + F.col("count") + WINDOW - 1).alias("end"))
-    wanted = judged.filter("not copy").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "crowded", "at", "count")).alias("wanted"))
+    wanted = judged.filter("not copy").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "parts", "at", "count")).alias("wanted"))
     cut = docs.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
-    cut = scratch.save(cut.mapInArrow(_cut, "key long, crowded boolean, doc long, tag int, at int, words binary"), "cut")
-    n = cut.filter("not crowded").count()
-    parts = max(common.spread(docs), -(-n // 20_000))
-    partial = cut.filter("not crowded").select("key", "doc", "tag", "at", "words").repartition(parts, "key").mapInArrow(_shards, _SPANS_DDL)
-    windows = scratch.save(cut.filter("crowded").select("doc", "tag", "at", "words").mapInArrow(_windows, "one long, two long, doc long, tag int, begin int"), "windows")
-    first = windows.groupBy("one", "two").agg(F.min("doc").alias("low"))
-    crowded = windows.join(first, ["one", "two"]).filter("doc > low").select("doc", "tag", "begin", (F.col("begin") + WINDOW).alias("end"))
-    return scratch.save(copies.unionByName(partial).unionByName(crowded), "spans")
+    cut = scratch.save(cut.mapInArrow(_cut, "key long, parts int, doc long, tag int, at int, words binary"), "cut")
+    few, crowded = cut.filter("parts = 0"), cut.filter("parts > 0")
+    shards = max(common.spread(docs), -(-few.count() // 20_000))
+    partial = few.select("key", "doc", "tag", "at", "words").repartition(shards, "key").mapInArrow(_shards, _SPANS_DDL)
+    windows = crowded.select("key", "parts", "doc", "words").mapInArrow(_windows, "key long, one long, two long, doc long, parts int")
+    known = windows.groupBy("key", "one", "two").agg(F.min("doc").alias("doc"), F.max("doc").alias("high"), F.max("parts").alias("parts")).filter("doc < high")
+    known = known.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "one", "two", "doc")
+    dealt = crowded.select("key", F.pmod(F.hash("doc"), "parts").alias("part"), "doc", "tag", "at", "words")
+    both = dealt.unionByName(known, allowMissingColumns=True).repartition(common.spread(docs), "key", "part")
+    read = both.select("one", "two", "doc", "tag", "at", "words").mapInArrow(_read_off, _SPANS_DDL)
+    return scratch.save(copies.unionByName(partial).unionByName(read), "spans")
 
 
 def _apply(batches, digest: bool):
@@ -282,7 +322,7 @@ def _apply(batches, digest: bool):
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """docs with doc and tag, by which rows are told apart: the id, and some bits of the text."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.xxhash64(text).cast("int") if False else F.hash(F.xxhash64(text))})
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.hash(F.xxhash64(text))})
 
 
 def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -292,7 +332,7 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     scratch = common.Scratch(spark, "substrings")
     rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text")
     found = spans(rows.select("doc", "tag", "text"), scratch)
-    scratch.drop("judged", "cut", "windows")
+    scratch.drop("judged", "cut")
     removed = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("removed"))
     rows = rows.join(removed.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(lambda batches: _apply(batches, digest), "doc_id long, n_words long, n_removed long, kept string")

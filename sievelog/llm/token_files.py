@@ -32,49 +32,45 @@ from . import common
 
 #: Fixed values of the format: ids a word holds and the bits of each, by selector; 0 is the escape.
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-BLOCK = 1024
+BLOCK = 256
 END_ID = 2
-#: Words whose ids a task remembers; it forgets all of them beyond that.
-MEMORY = 250_000
+#: Words whose ids a Python worker remembers, over tasks; it forgets all of them beyond that.
+MEMORY = 600_000
 
 _COUNT = np.array([c for c, _ in SELECTORS], np.int64)
 _BITS = np.array([b for _, b in SELECTORS], np.uint64)
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values), np.uint8)
-    for b in range(64):
-        above = values >= np.uint64(1 << b)
-        if not above.any():
-            break
-        out += above
-    return out
+    if len(values) and values.max() >= 1 << 52:
+        return sum(((values >> np.uint64(b)) > 0).astype(np.uint8) for b in range(64))
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Words and the first word of each block. The widest selector that fits is taken, in all blocks side by side."""
+    """Words and the first word of each block. The selector that holds most is taken, in all blocks side by side."""
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    bits = _bit_lengths(values)
-    widest = int(bits.max())
-    over = {}
-    for s, (_, width) in enumerate(SELECTORS):
-        if s and width < widest:
-            over[s] = np.concatenate([[0], np.cumsum(bits > width, dtype=np.int32)])
+    bits = np.concatenate([_bit_lengths(values), np.zeros(int(_COUNT.max()), np.uint8)])
     at = np.arange(0, n, block, dtype=np.int64)
     ends = np.minimum(at + block, n)
     owner = np.arange(len(at))
     begun, chosen, owners = [], [], []
     while len(at):
         choice = np.zeros(len(at), np.int64)
-        for s in range(len(SELECTORS) - 1, 0, -1):
-            till = at + _COUNT[s]
-            fits = till <= ends
-            if s in over:
-                fits &= over[s][np.minimum(till, n)] == over[s][at]
-            choice[fits] = s
+        lane, top, seen = np.arange(len(at)), np.zeros(len(at), np.uint8), 0
+        for s in range(len(SELECTORS) - 1, 0, -1):  # what fits a selector fits those that hold less
+            count, width = SELECTORS[s]
+            for j in range(seen, count):
+                top = np.maximum(top, bits[at[lane] + j])
+            seen = count
+            fits = (top <= width) & (at[lane] + count <= ends[lane])
+            lane, top = lane[fits], top[fits]
+            if not len(lane):
+                break
+            choice[lane] = s
         begun.append(at)
         chosen.append(choice)
         owners.append(owner)
@@ -127,6 +123,34 @@ def unpack_blocks(words: np.ndarray, block_words: np.ndarray, first: int, last:
     return unpack(words[block_words[first] : end])
 
 
+#: ASCII by how it splits: letters 1, symbols 2, all else (digits, white space, the apostrophe, other bytes) 0.
+MARK = "\x01"
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 2
+_CLASS[[39, *range(48, 58)]] = 0
+_CLASS[65:91] = _CLASS[97:123] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def simplify(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with the same ids and fewer distinct words: A-Z in lower case, a space between ASCII letters and symbols.
+
+    The tokenizer does both itself. Left as they are: texts with a combining mark (lead bytes CC and CD), as marks may
+    compose with small letters only, and texts with "<|", which may begin a special token.
+    """
+    kinds = _CLASS[data]
+    odd = (data == 0xCC) | (data == 0xCD)
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    if odd.any():
+        for row in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1):
+            kinds[offsets[row] : offsets[row + 1]] = 0
+    data = np.where(kinds == 1, _LOWER[data], data)
+    cut = np.flatnonzero(kinds[:-1] + kinds[1:] == 3) + 1
+    cut = cut[(kinds[cut] > 0) & (kinds[cut - 1] > 0)]
+    return np.insert(data, cut, np.uint8(32)), offsets + np.searchsorted(cut, offsets, side="right")
+
+
 class WordEncoder:
     """ids of whole texts through the tokenizers library, each distinct word encoded once.
 
@@ -139,31 +163,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("this tokenizer has no token for the mark between words")
         self._forget()
 
     def _forget(self) -> None:
         self.numbers, self.ids, self.starts, self.lengths = common.WordIds(), np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _learn(self) -> None:
+        """Encode the fresh words, many in one text, between marks that no word holds."""
+        fresh = [w.decode() for w in self.numbers.fresh]
+        self.numbers.fresh.clear()
+        if any(MARK in w for w in fresh):
+            texts = [f"{w} {MARK}" if MARK not in w else w for w in fresh]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [ids if MARK in w else ids[: -len(self.mark)] for ids, w in zip(found, fresh)]
+            lengths, ids = np.array([len(x) for x in found], np.int64), np.concatenate(found)
+        else:
+            texts = [f" {MARK} ".join(fresh[i : i + 256]) + f" {MARK}" for i in range(0, len(fresh), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.mark[0])
+            lengths = np.diff(ends, prepend=-1) - 1
+            ids = ids[ids != self.mark[0]]
+        used = int(self.lengths.sum())
+        need = used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.uint32)])
+        self.ids[used:need] = ids
+        self.starts = np.concatenate([self.starts, used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and the number of each row's."""
         if len(self.numbers) > MEMORY:
             self._forget()
+        data, offsets = simplify(data, offsets)
         raw = data.tobytes()
         words = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         per_row = np.fromiter(map(len, words), np.int64, len(words))
         flat = [w for ws in words for w in ws]
         numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
         if self.numbers.fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.numbers.fresh], add_special_tokens=False)]
-            self.numbers.fresh.clear()
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            used = int(self.lengths.sum())
-            need = used + int(lengths.sum())
-            if need > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.uint32)])
-            self.ids[used:need] = np.fromiter((i for ids in found for i in ids), np.uint32, need - used)
-            self.starts = np.concatenate([self.starts, used + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
+            self._learn()
         lengths = self.lengths[numbers]
         ids = self.ids[common.ragged(self.starts[numbers], lengths)]
         before = np.concatenate([[0], np.cumsum(lengths)])
@@ -171,15 +213,25 @@ class WordEncoder:
         return ids, before[edge[1:]] - before[edge[:-1]]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """This worker's encoder; one at a time is kept, from task to task."""
+    if tokenizer_file not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
+
+
 _PACK = pa.schema([("shard", pa.int32()), ("pack", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("block_words", pa.list_(pa.int32())), ("words", pa.binary())])
 _PACK_DDL = "shard int, pack int, doc_ids array<long>, n_tokens array<int>, block_words array<int>, words binary"
 
 
 def _write_packs(batches, tokenizer_file: str, end_id: int):
-    encoder, number = None, 0
+    number = 0
     for part in common.chunks(batches):
-        encoder = encoder or WordEncoder(tokenizer_file)
-        ids, counts = encoder.encode(*common.utf8(part.column("text")))
+        ids, counts = encoder(tokenizer_file).encode(*common.utf8(part.column("text")))
         after = np.cumsum(counts)
         ids = np.insert(ids, after, np.uint32(end_id))
         words, block_words = pack(ids)
