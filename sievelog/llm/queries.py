@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, vptree
+from .langid import op6_langid
 from .mixing import op8_mixing
+from .pieces import op10_sentencepiece
+from .quality import op4_quality
 from .simhash import op5_simhash
 from .substrings import op7_substrings
 from .token_files import op2_token_files
+from .vector_dedup import op1_vector_dedup
+from .vptree import op3_vptree
 
 
 def queries() -> dict:
-    return {
-        "op2_token_files": op2_token_files,
-        "op5_simhash": op5_simhash,
-        "op7_substrings": op7_substrings,
-        "op8_mixing": op8_mixing,
-    }
+    return {f.__name__: f for f in (op1_vector_dedup, op2_token_files, op3_vptree, op4_quality, op5_simhash, op6_langid, op7_substrings, op8_mixing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op3_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE}
