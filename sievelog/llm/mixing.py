@@ -143,17 +143,18 @@ def position(start: Column) -> Column:
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: a row for each copy, with its position, range-sorted by that.
+    """The documents as the mix takes them: a row for each copy, with its `mix_position`, range-sorted by that.
 
     Rows alike in doc_id, source and size are taken alike: each as often as the one that the mix takes most.
     """
     copies = mix(docs).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
     start = F.when(F.col("copy") < F.col("base"), F.col("copy") * F.col("source_size") + F.col("own_before")).otherwise(F.col("extra_before"))
-    plan = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copy", position(start).alias("position"))
-    plan = plan.groupBy("_id", "_source", "_size", "copy").agg(F.min("position").alias("position"))
-    texts = docs.withColumn("_words", words(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return texts.join(plan, same).drop("_words", "_size", "_id", "_source", "copy").orderBy("position", "doc_id")
+    plan = copies.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), "copy", position(start).alias("mix_position"))
+    plan = plan.groupBy("__mix_id", "__mix_source", "__mix_size", "copy").agg(F.min("mix_position").alias("mix_position")).drop("copy")
+    texts = docs.withColumns({"__mix_own": F.col("doc_id").cast("long"), "__mix_from": F.col("source").cast("string"), "__mix_words": words(F.col("text"))})
+    same = F.col("__mix_own").eqNullSafe(F.col("__mix_id")) & F.col("__mix_from").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size"))
+    taken = texts.join(plan.hint("shuffle_hash"), same)
+    return taken.drop("__mix_own", "__mix_from", "__mix_words", "__mix_id", "__mix_source", "__mix_size").orderBy("mix_position", "doc_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

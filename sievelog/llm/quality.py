@@ -27,7 +27,7 @@ SMOOTH = 40.0
 #: Bytes of a word that count towards its length: a key or an address says little about the prose around it.
 LONGEST = 16
 #: Share of the identity in a class covariance.
-SHRINKAGE = 0.05
+SHRINKAGE = 0.25
 #: Log-density differences are divided by this before the logistic, as the statistics aren't quite Gaussian.
 TEMPERATURE = 2.0
 

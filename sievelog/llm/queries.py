@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, vptree
+from . import mixing, rollup, vptree
 from .langid import op6_langid
 from .mixing import op8_mixing
 from .pieces import op10_sentencepiece
 from .quality import op4_quality
+from .rollup import op9_token_rollup, word_rollup
 from .simhash import op5_simhash
 from .substrings import op7_substrings
 from .token_files import op2_token_files
@@ -15,8 +16,8 @@ from .vptree import op3_vptree
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_vector_dedup, op2_token_files, op3_vptree, op4_quality, op5_simhash, op6_langid, op7_substrings, op8_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_vector_dedup, op2_token_files, op3_vptree, op4_quality, op5_simhash, op6_langid, op7_substrings, op8_mixing, op9_token_rollup, op10_sentencepiece, word_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op3_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE, "word_rollup": rollup.ORACLE}

@@ -183,5 +183,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, rows["fp"] == named["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all its columns."""
+    found = near_duplicates(docs)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    first = common.Scratch(docs.sparkSession, "first").save(first, "ids")
+    kept = docs.join(first.select(F.col("doc_id").alias("__first_id")).hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__first_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if first.filter("n > 1").head(1) else kept
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
