@@ -12,9 +12,9 @@ Words are runs of `[^\\x20\\x09-\\x0D]+`, compared through 64-bit hashes. The wo
    in ascending doc_id: a document's variants run through the automaton of all smaller documents for their matching
    statistics, spans of 50 words or more are removed, and then the variants join the automaton.
 4. Crowded keys. A key with over MAX_VARIANTS variants (a passage that thousands of documents embed in different
-   text) would make an unbounded shard. Its windows are counted one by one instead: the smallest and largest doc_id of
-   each window's 128-bit hash, combined before the shuffle. The windows found in two documents are sent to all parts of
-   the key's variants, PART of them each, where spans are read off. It is exact as well, and linear.
+   text) would make an unbounded shard. Its variants are cut again by the least hash of longer grams (GRAMS), which
+   sets the passage itself, one variant by then, apart from what surrounds it, and steps 2 to 4 repeat on the finer
+   cells. The last gram is a whole window, whose cells have one variant each, so nothing is left over.
 
 Windows are judged on the input. Null text has no words; empty and short texts lose nothing. A null doc_id counts as
 larger than all. Rows that share a doc_id do not remove each other's words; each is judged on its own text. Empty
@@ -33,12 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 50
-#: Words in a gram that routes windows.
-GRAM = 16
-#: Variants of a key that one shard compares; beyond it windows are counted one by one.
+#: Words in the grams that route windows: the first for all windows, the others for those of crowded keys.
+GRAMS = (16, 40, 48, WINDOW)
+#: Variants of a key that one shard compares; beyond it the variants are cut finer.
 MAX_VARIANTS = 64
-#: Variants of a crowded key in one part.
-PART = 1000
 #: Variants in a shard, about.
 SHARD = 1500
 LAST = (1 << 63) - 1
@@ -125,20 +123,21 @@ def _slide_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def cells(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+def cells(words: np.ndarray, first: np.ndarray, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """Key, hash of all words, row, first word in its row and number of windows of every cell. words: hashes; first: of each row its first word."""
     n = len(words)
     empty = np.zeros(0, np.int64)
     if n < WINDOW:
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     spans = common.Spans(words)
-    at = np.arange(n - GRAM + 1)
-    keys = _slide_min(spans.hash(at, at + GRAM), WINDOW - GRAM + 1)
+    at = np.arange(n - gram + 1)
+    keys = _slide_min(spans.hash(at, at + gram), WINDOW - gram + 1)
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), counts)[: len(keys)]
     whole = np.arange(len(keys)) + WINDOW <= first[1:][row]
     begins = whole.copy()
-    begins[1:] &= ~whole[:-1] | (keys[1:] != keys[:-1])
+    if gram < WINDOW:  # else every window is a cell, also where a text repeats itself
+        begins[1:] &= ~whole[:-1] | (keys[1:] != keys[:-1])
     begin = np.flatnonzero(begins)
     ends = whole.copy()
     ends[:-1] &= ~whole[1:] | begins[1:]
@@ -165,14 +164,14 @@ def _cells(batches):
 
 def _cut(batches):
     """The words of the cells asked for, as hashes."""
-    schema = pa.schema([("key", pa.int64()), ("parts", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("crowded", pa.bool_()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("words", pa.binary())])
     for part in common.chunks(batches):
         words, first, *_ = _hashed(part)
         rows: dict[str, list] = {name: [] for name in schema.names}
         for i, (doc, tag, wanted) in enumerate(zip(part.column("doc").to_pylist(), part.column("tag").to_pylist(), part.column("wanted").to_pylist())):
             for w in wanted:
                 begin = first[i] + w["at"]
-                for name, value in (("key", w["key"]), ("parts", w["parts"]), ("doc", doc), ("tag", tag), ("at", w["at"]), ("words", words[begin : begin + w["count"] + WINDOW - 1].tobytes())):
+                for name, value in (("key", w["key"]), ("crowded", w["crowded"]), ("doc", doc), ("tag", tag), ("at", w["at"]), ("words", words[begin : begin + w["count"] + WINDOW - 1].tobytes())):
                     rows[name].append(value)
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -214,86 +213,60 @@ def _shards(batches):
         at = end
 
 
-def _window_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of all windows of some word sequences, with the sequence and the place of each."""
-    sizes = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
-    words = np.frombuffer(b"".join(raw), np.uint64)
-    windows = sizes - WINDOW + 1
-    at = common.ragged(np.cumsum(sizes) - sizes, windows)
-    one = common.Spans(words).hash(at, at + WINDOW)
-    two = common.Spans(common.mix(words ^ np.uint64(0x5851F42D4C957F2D))).hash(at, at + WINDOW)
-    return one.view(np.int64), two.view(np.int64), np.repeat(np.arange(len(sizes)), windows), common.ragged(np.zeros(len(sizes), np.int64), windows)
-
-
-def _windows(batches):
+def _finer(batches, gram: int):
+    """The cells of variants by longer grams, each with its words."""
     for batch in batches:
         for sub in range(0, batch.num_rows, 2048):
             part = batch.slice(sub, 2048)
-            one, two, row, _ = _window_hashes(part.column("words").to_pylist())
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("key").take(row), pa.array(one), pa.array(two), part.column("doc").take(row), part.column("parts").take(row)], ["key", "one", "two", "doc", "parts"])
-
-
-def _read_off(batches):
-    """A task's variants (words set) and shared windows (words null): spans of windows that a smaller document has."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held)
-    known = rows.filter(rows.column("words").is_null())
-    one, two, low = (known.column(c).to_numpy() for c in ("one", "two", "doc"))
-    order = np.lexsort((low, two, one))
-    one, two, low = one[order], two[order], low[order]
-    if not len(one):
-        return
-    rows = rows.filter(rows.column("words").is_valid())
-    for sub in range(0, rows.num_rows, 2048):
-        part = rows.slice(sub, 2048)
-        first, second, row, at = _window_hashes(part.column("words").to_pylist())
-        docs, tags, starts = (part.column(c).to_numpy() for c in ("doc", "tag", "at"))
-        place = np.searchsorted(one, first)
-        hit = np.zeros(len(first), bool)
-        for step in range(_longest_run(one)):  # equal first hashes with other second ones are next to each other
-            here = np.minimum(place + step, len(one) - 1)
-            hit |= (one[here] == first) & (two[here] == second) & (low[here] < docs[row])
-        row, at = row[hit], at[hit]
-        if len(row):
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
-            begin, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
-            of = row[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[of]), pa.array(tags[of]), pa.array(starts[of] + at[begin], pa.int32()), pa.array(starts[of] + at[end] + WINDOW, pa.int32())], schema=_SPANS)
-
-
-def _longest_run(values: np.ndarray) -> int:
-    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
-    return int(np.diff(edges).max())
+            raw = part.column("words").to_pylist()
+            first = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])
+            key, same, row, at, count = cells(np.frombuffer(b"".join(raw), np.uint64), first, gram)
+            words = [raw[r][8 * a : 8 * (a + n + WINDOW - 1)] for r, a, n in zip(row.tolist(), at.tolist(), count.tolist())]
+            place = part.column("at").to_numpy(zero_copy_only=False)[row] + at
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), part.column("doc").take(index), part.column("tag").take(index), pa.array(place, pa.int32()), pa.array(count, pa.int32()), pa.array(words, pa.binary())],
+                ["key", "same", "doc", "tag", "at", "count", "words"],
+            )
+
+
+def _judge(found: DataFrame, scratch: common.Scratch, level: int) -> DataFrame:
+    """The cells that matter: copies of another document's (`copy`), and owners of one of several variants of a key."""
+    found = scratch.save(found, f"cells{level}")
+    shared = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
+    found = scratch.save(found.join(shared, "key", "left_semi"), f"shared{level}")
+    scratch.drop(f"cells{level}")
+    variants = found.groupBy("key", "same").agg(F.min("doc").alias("owner"))
+    variants = variants.join(variants.groupBy("key").agg(F.count("*").alias("variants")), "key")
+    judged = found.join(variants, ["key", "same"]).filter("doc > owner or variants > 1")
+    judged = judged.withColumns({"copy": F.expr("doc > owner"), "crowded": F.col("variants") > MAX_VARIANTS}).drop("same", "owner", "variants")
+    judged = scratch.save(judged, f"judged{level}")
+    scratch.drop(f"shared{level}")
+    return judged
 
 
 def spans(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(doc, tag, begin, end): words of rows that smaller documents' windows cover; docs: (doc, tag, text)."""
-    found = scratch.save(docs.mapInArrow(_cells, "key long, same long, doc long, tag int, at int, count int"), "cells")
-    shared = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    found = scratch.save(found.join(shared, "key", "left_semi"), "shared")
-    scratch.drop("cells")
-    variants = found.groupBy("key", "same").agg(F.min("doc").alias("owner"))
-    counts = variants.groupBy("key").agg(F.count("*").alias("variants"))
-    variants = variants.join(counts, "key")
-    judged = scratch.save(found.join(variants, ["key", "same"]).filter("doc > owner or variants > 1").select("key", "doc", "tag", "at", "count", F.expr("doc > owner").alias("copy"), F.when(F.col("variants") > MAX_VARIANTS, F.ceil(F.col("variants") / PART)).otherwise(0).cast("int").alias("parts")), "judged")
-    scratch.drop("shared")
-    copies = judged.filter("copy").select("doc", "tag", F.col("at").alias("begin"), (F.col("at") + F.col("count") + WINDOW - 1).alias("end"))
-    wanted = judged.filter("not copy").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "parts", "at", "count")).alias("wanted"))
-    cut = docs.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
-    cut = scratch.save(cut.mapInArrow(_cut, "key long, parts int, doc long, tag int, at int, words binary"), "cut")
-    few, crowded = cut.filter("parts = 0"), cut.filter("parts > 0")
-    shards = max(common.spread(docs), -(-few.count() // 20_000))
-    partial = few.select("key", "doc", "tag", "at", "words").repartition(shards, "key").mapInArrow(_shards, _SPANS_DDL)
-    windows = crowded.select("key", "parts", "doc", "words").mapInArrow(_windows, "key long, one long, two long, doc long, parts int")
-    known = windows.groupBy("key", "one", "two").agg(F.min("doc").alias("doc"), F.max("doc").alias("high"), F.max("parts").alias("parts")).filter("doc < high")
-    known = known.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "one", "two", "doc")
-    dealt = crowded.select("key", F.pmod(F.hash("doc"), "parts").alias("part"), "doc", "tag", "at", "words")
-    both = dealt.unionByName(known, allowMissingColumns=True).repartition(common.spread(docs), "key", "part")
-    read = both.select("one", "two", "doc", "tag", "at", "words").mapInArrow(_read_off, _SPANS_DDL)
-    return scratch.save(copies.unionByName(partial).unionByName(read), "spans")
+    out = None
+    found = docs.mapInArrow(_cells, "key long, same long, doc long, tag int, at int, count int")
+    for level, gram in enumerate(GRAMS):
+        if level:
+            found = crowded.mapInArrow(lambda b, gram=gram: _finer(b, gram), "key long, same long, doc long, tag int, at int, count int, words binary")
+        judged = _judge(found, scratch, level)
+        copies = judged.filter("copy").select("doc", "tag", F.col("at").alias("begin"), (F.col("at") + F.col("count") + WINDOW - 1).alias("end"))
+        owners = judged.filter("not copy").drop("copy")
+        if not level:  # the first cells come without their words
+            wanted = owners.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "crowded", "at", "count")).alias("wanted"))
+            owners = docs.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
+            owners = scratch.save(owners.mapInArrow(_cut, "key long, crowded boolean, doc long, tag int, at int, words binary"), "cut")
+        few, crowded = owners.filter("not crowded"), owners.filter("crowded")
+        shards = max(common.spread(docs), -(-few.count() // 20_000))
+        partial = few.select("key", "doc", "tag", "at", "words").repartition(shards, "key").mapInArrow(_shards, _SPANS_DDL)
+        here = scratch.save(copies.unionByName(partial), f"spans{level}")
+        out = here if out is None else out.unionByName(here)
+        if not crowded.head(1):
+            break
+    return out
 
 
 def _apply(batches, digest: bool):
@@ -332,11 +305,42 @@ def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
     scratch = common.Scratch(spark, "substrings")
     rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text")
     found = spans(rows.select("doc", "tag", "text"), scratch)
-    scratch.drop("judged", "cut")
+    scratch.drop(*(f"judged{i}" for i in range(len(GRAMS))), "cut")
     removed = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("removed"))
     rows = rows.join(removed.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(lambda batches: _apply(batches, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
+def _shorten(batches):
+    """Texts without the words of their spans; other texts as they are."""
+    for part in common.chunks(batches):
+        names = [n for n in part.schema.names if n != "__removed"]
+        texts = part.column("text").to_pylist()
+        for i, removed in enumerate(part.column("__removed").to_pylist()):
+            if removed:
+                words, kept, at = texts[i].encode().split(), [], 0
+                for a, b in _joined([(r["begin"], r["end"]) for r in removed]):
+                    kept += words[at:a]
+                    at = b
+                texts[i] = b" ".join(kept + words[at:]).decode()
+        own = {"text": pa.array(texts, pa.string())}
+        if "n_chars" in names:
+            own["n_chars"] = pa.array([None if t is None else len(t) for t in texts], part.schema.field("n_chars").type)
+        yield pa.RecordBatch.from_arrays([own.get(n, part.column(n)) for n in names], names)
+
+
+def remove_substrings(docs: DataFrame) -> DataFrame:
+    """docs, all rows and columns, with the texts (and n_chars, if there) that are left. A text that loses all its words becomes empty."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    scratch = common.Scratch(spark, "substrings")
+    found = spans(_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text").select("doc", "tag", "text"), scratch)
+    scratch.drop(*(f"judged{i}" for i in range(len(GRAMS))), "cut")
+    removed = found.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("begin", "end")).alias("__removed"))
+    own = docs.withColumns({"__doc2": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__tag2": F.hash(F.xxhash64("text"))})
+    rows = own.join(removed.hint("shuffle_hash"), (F.col("__doc") == F.col("__doc2")) & (F.col("__tag") == F.col("__tag2")), "left").select(*docs.columns, "__removed")
+    return rows.mapInArrow(_shorten, docs.schema)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(common.table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
