@@ -156,10 +156,10 @@ def link(prints: DataFrame, scratch: common.Scratch) -> DataFrame:
     spots = scratch.save(prints.mapInArrow(_anchors, "anchor long, fp long, home boolean"), "spots")
     crowded = scratch.save(spots.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "crowded")
     if crowded.head(1):
-        spots = spots.join(crowded, "anchor", "left").withColumn("own", F.when(F.col("home"), F.pmod(F.hash("fp"), F.col("parts"))))
-        chunk = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        spots = spots.select("anchor", "fp", "own", F.explode(chunk).alias("chunk")).select("anchor", "chunk", "fp", F.coalesce(F.col("own") == F.col("chunk"), F.lit(False)).alias("home") | F.lit(False))
-        spots = spots.toDF("anchor", "chunk", "fp", "home")
+        spots = spots.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.hash("fp"), F.col("parts"))
+        spots = spots.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "fp", F.col("home"), own.alias("own"))
+        spots = spots.select("anchor", "chunk", "fp", (F.col("home") & (F.col("own") == F.col("chunk"))).alias("home"))
     else:
         spots = spots.select("anchor", F.lit(0).alias("chunk"), "fp", "home")
     parts = max(common.spread(prints), -(-prints.count() * 34 // 400_000))
