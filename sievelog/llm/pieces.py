@@ -19,6 +19,7 @@ repeated ids or rows need no care; empty tables give no rows; other columns pass
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 
@@ -34,6 +35,8 @@ from . import common
 MARK = "\u2581"
 #: Segments whose ids a Python worker remembers, over tasks.
 MEMORY = 400_000
+#: Characters of a segment from which on it is relaxed by a heap.
+LONG = 64
 _SEGMENT = re.compile(rb" *[^ \t\n\x0b\x0c]+|[\t\n\x0b\x0c]| +")
 
 
@@ -118,6 +121,38 @@ def occurrences(text: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tu
     return np.repeat(rows, high - low), order[common.ragged(low, high - low)]
 
 
+def _relax(start: int, stop: int, edge: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one segment, begins and ends: the best edge first, from a heap; an edge that no longer joins two neighbours is passed over."""
+    n = stop - start
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    table, rank, depth = edge[start:stop].tolist(), model.rank.tolist(), model.depth
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(a: int) -> None:
+        """The edge that joins the symbol at a and the one behind it."""
+        b = end[a]
+        if b < n and end[b] - a <= depth and (piece := table[a][end[b] - a]) >= 0:
+            heapq.heappush(heap, (-rank[piece], a, end[b]))
+
+    for a in range(n):
+        offer(a)
+    while heap:
+        _, a, stop_at = heapq.heappop(heap)
+        b = end[a]
+        if not alive[a] or b >= n or end[b] != stop_at:
+            continue
+        alive[b] = False
+        end[a] = stop_at
+        if stop_at < n:
+            before[stop_at] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    begins = np.flatnonzero(np.array(alive))
+    return begins + start, np.array(end)[begins] + start
+
+
 def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all segments one after the other, and the number of each one's."""
     joined = "\0".join(segments) + "\0"
@@ -128,10 +163,15 @@ def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.n
     edge = np.full((len(text), model.depth + 1), -1, np.int32)
     edge[place, model.lengths[row]] = model.ids[row]
     # Symbols: where they begin and end, and the segment they are in. At first each character is one.
-    begin = common.ragged(starts, sizes)
-    end = begin + 1
-    owner = np.repeat(np.arange(len(segments)), sizes)
+    # Long segments are relaxed one by one, by a heap; the others side by side, a round at a time.
     done: list[tuple] = []
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        begin, end = _relax(starts[i], starts[i] + sizes[i], edge, model)
+        done.append((begin, end, np.full(len(begin), i)))
+    side = np.where(sizes > LONG, 0, sizes)
+    begin = common.ragged(starts, side)
+    end = begin + 1
+    owner = np.repeat(np.arange(len(segments)), side)
     far = 1 << 32
     while len(begin):
         size = end[1:] - begin[:-1]
