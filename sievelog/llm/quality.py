@@ -39,6 +39,8 @@ _MARK[33:127] = 1
 _MARK[(_UPPER + _LOWER + _DIGIT + _PAUSE) > 0] = 0
 #: Typical shares that smoothing leans to: capitals, pauses, marks, repeated neighbours, repeated words, short and long words.
 _TYPICAL = {"upper": 0.02, "pause": 0.02, "mark": 0.01, "echo": 0.005, "again": 0.2, "short": 0.2, "long": 0.05, "capital": 0.1, "bare": 0.01}
+#: Labelled rows of a class below which nothing is learnt.
+LEAST = 3
 FEATURES = [*_TYPICAL, "word_length", "spread", "words"]
 
 
@@ -137,7 +139,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
     sums = known.mapInArrow(_moments, "quality int, m array<double>")
     d = len(FEATURES)
     added = sums.groupBy("quality").agg(*(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(1 + d + d * d))).collect()
-    return Discriminant({r[0]: np.array(r[1:], float) for r in added if r[1] > len(FEATURES)})
+    return Discriminant({r[0]: np.array(r[1:], float) for r in added if r[1] >= LEAST})
 
 
 def held_out(doc_id) -> "F.Column":
