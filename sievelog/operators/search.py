@@ -49,6 +49,11 @@ def term_count(lines: DataFrame, term: str, on: Column) -> DataFrame:
     return lines.filter(F.array_contains(on, term)).agg(F.count("*").alias("count"))
 
 
+def term_lines(lines: DataFrame, term: str, on: Column, order: list[str], limit: int | None = None) -> SearchResult:
+    """The lines that hold a term, the first `limit` in order."""
+    return SearchResult(lines.filter(F.array_contains(on, term)), order, limit)
+
+
 def response(result: SearchResult, query_text: str) -> DataFrame:
     """One row: query, count, total, results. The limit is applied before anything is gathered."""
     if result.limit is None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sievelog.functions.text import tokens
 from sievelog.operators.blocks import assign_blocks, block_metadata, number_lines
 from sievelog.operators.postings import coded_size, deltas, dictionary, postings, undelta
-from sievelog.operators.search import SearchResult, matching, response
+from sievelog.operators.search import SearchResult, matching, response, term_count, term_lines
 from sievelog.plans.compile import from_postings, predicate
 from sievelog.plans.query import And, Not, Or, Term, matches
 
@@ -67,5 +67,8 @@ def test_response(spark):
     found = SearchResult(matching(lines, "error"), ["n"], 3)
     assert found.total == 10 and found.lines() == ["error line 1", "error line 2", "error line 3"]
     assert response(found, "error").head().asDict() == {"query": "error", "count": 3, "total": 10, "results": found.lines()}
+    held = lines.withColumn("tokens", tokens("line"))
+    assert term_count(held, "error", F.col("tokens")).head()[0] == 10
+    assert term_lines(held, "error", F.col("tokens"), ["n"], 2).lines() == ["error line 1", "error line 2"]
     none = response(SearchResult(matching(lines, "nothing"), ["n"], 3), "nothing").head()
     assert (none["count"], none["total"], none["results"]) == (0, 0, [])

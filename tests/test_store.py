@@ -8,6 +8,7 @@ import urllib.request
 
 import pytest
 
+from sievelog.__main__ import main
 from sievelog.config import Settings
 from sievelog.operators.store import Conflict, Store
 from sievelog.service import Service, serve
@@ -206,6 +207,30 @@ def test_socket_stream(spark, tmp_path):
         query.stop()
 
 
+def test_process(spark, tmp_path, capsys):
+    """All ports of a running service, and what is left after it stops."""
+    stop, root = threading.Event(), f"file://{tmp_path}/store"
+    run = threading.Thread(target=main, args=(["--root", root, "--http", "0", "--tcp", "0", "--udp", "0"], stop))
+    run.start()
+    said = []
+    assert wait(lambda: said.append(capsys.readouterr().out) or "udp" in "".join(said), 30)
+    http, tcp, udp = (int(x.split()[1]) for x in "".join(said).strip().split(", "))
+    with socket.create_connection(("127.0.0.1", tcp)) as s:
+        s.sendall(b'{"message":"tcp_line"}\n')
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.sendto(b"udp_line", ("127.0.0.1", udp))
+
+    def both():
+        with urllib.request.urlopen(f"http://127.0.0.1:{http}/search?query=tcp_line+OR+udp_line") as r:
+            return json.loads(r.read())["total"] == 2
+
+    assert wait(both, 30)
+    stop.set()
+    run.join(60)
+    left = Store(spark, root)
+    assert left.manifest.active_lines == 0 and sorted(left.search("tcp_line OR udp_line", indexed=True).lines()) == ["tcp_line", "udp_line"]
+
+
 def test_http(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store", Settings(block_rows=3, search_limit=2))
     server = serve(Service(spark, store), port=0)
