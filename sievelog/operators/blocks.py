@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BLOCK_ROWS, PACK_ROWS
@@ -15,35 +15,34 @@ def number_lines(df: DataFrame, order: list[str], column: str = "line_no", start
     order must be total for the numbers to be the same every time.
     """
     spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = placed.persist()  # the sort's cut points come from a sample: partitions must be those that were counted
-    sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
     starts, at = [], start
-    for part, size in sizes:
-        starts.append((part, at))
+    for number, size in sizes:
+        starts.append((number, at))
         at += size
-    starts = F.broadcast(spark.createDataFrame(starts or [(0, start)], "_part int, _start long"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return placed.join(starts, "_part").withColumn(column, F.col("_start") + F.row_number().over(inside) - 1).drop("_part", "_start")
+    starts = F.broadcast(spark.createDataFrame(starts or [(0, start)], "_part long, _start long"))  # a row for each partition
+    return placed.withColumn("_part", part).join(starts, "_part").withColumn(column, F.col("_start") + inside).drop("_part", "_start", "_at")
 
 
-def block_of(line_no: Column, block_rows: int = BLOCK_ROWS, first_block: int = 0) -> Column:
-    return (F.floor(line_no / block_rows) + first_block).cast("long")
+def block_of(line_no: str, block_rows: int = BLOCK_ROWS, first_block: int = 0) -> Column:
+    return F.expr(f"`{line_no}` div {block_rows}L") + F.lit(first_block).cast("long")
 
 
-def line_of(line_no: Column, block_rows: int = BLOCK_ROWS) -> Column:
-    return (line_no % block_rows).cast("int")
+def line_of(line_no: str, block_rows: int = BLOCK_ROWS) -> Column:
+    return (F.col(line_no) % block_rows).cast("int")
 
 
-def pack_of(line_id: Column, pack_rows: int = PACK_ROWS) -> Column:
-    return F.floor(line_id / pack_rows).cast("int")
+def pack_of(line_id: str, pack_rows: int = PACK_ROWS) -> Column:
+    return F.expr(f"`{line_id}` div {pack_rows}").cast("int")
 
 
 def assign_blocks(numbered: DataFrame, block_rows: int = BLOCK_ROWS, pack_rows: int = PACK_ROWS, first_block: int = 0, column: str = "line_no") -> DataFrame:
     """Numbered lines with block_id, line_id (its place in the block) and pack_id."""
-    n = F.col(column)
-    placed = numbered.withColumns({"block_id": block_of(n, block_rows, first_block), "line_id": line_of(n, block_rows)})
-    return placed.withColumn("pack_id", pack_of(F.col("line_id"), pack_rows))
+    placed = numbered.withColumns({"block_id": block_of(column, block_rows, first_block), "line_id": line_of(column, block_rows)})
+    return placed.withColumn("pack_id", pack_of("line_id", pack_rows))
 
 
 def block_metadata(lines: DataFrame, pack_rows: int = PACK_ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 """From queries to plans. Three forms give the same rows:
 
-* `predicate(q, tokens("line"))`: tokenizes in the filter; for lines without an index.
+* `guard(q, lowered) & predicate(q, tokens("line"))`: tokenizes in the filter, and only lines that hold the terms as
+  substrings; for lines without an index.
 * `predicate(q, col("tokens"))`: the stored tokens; the default.
 * `from_postings`: reads only the query's terms from the inverted index, whose sorted terms prune the scan.
 """
@@ -31,6 +32,18 @@ def predicate(query: Query, tokens: Column) -> Column:
     raise TypeError(f"no query: {query!r}")
 
 
+def guard(query: Query, lowered: Column) -> Column:
+    """A cheap condition that every match meets: the terms occur somewhere in the lowered line. What NOT asks for is left open."""
+    match query:
+        case Term(text):
+            return F.contains(lowered, F.lit(text)) if text else F.lit(False)
+        case And(children):
+            return reduce(Column.__and__, (guard(c, lowered) for c in children)) if children else F.lit(False)
+        case Or(children):
+            return reduce(Column.__or__, (guard(c, lowered) for c in children), F.lit(False))
+    return F.lit(True)
+
+
 def from_postings(query: Query, postings: DataFrame, lines: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Keys of the lines found; postings: (term, *key); lines: at least *key.
 
