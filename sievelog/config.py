@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from dataclasses import dataclass, fields
 
 # The defaults that users of the service rely on.
@@ -49,3 +50,14 @@ class Settings:
         if limit < 0:
             raise ValueError("limit must not be negative")
         return limit or None
+
+
+def shared_dir(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, local runs get a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sievelog-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

@@ -182,9 +182,9 @@ class _Parser:
         if self.take("("):
             query = self.either(depth + 1)
             if not self.take(")"):
-                raise QueryError(f"expected ')', got {self.kind}")
+                raise QueryError("a parenthesis is not closed")
             return query
-        raise QueryError("unexpected end of query" if self.kind == "END" else f"unexpected {self.kind} in query")
+        raise QueryError("the query ends where a term should come" if self.kind == "END" else f"{self.kind} where a term should come")
 
 
 def parse_query(text: str, chars: CharTable = plain_chars) -> Query:
@@ -193,7 +193,7 @@ def parse_query(text: str, chars: CharTable = plain_chars) -> Query:
     parser = _Parser(text, chars)
     query = parser.either(0)
     if parser.kind != "END":
-        raise QueryError(f"unexpected {parser.kind} after the query")
+        raise QueryError(f"{parser.kind} is left over")
     return query
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Settings, shared_dir
 from .functions.json_lines import normalize_line, prepare
-from .functions.text import first_token, normalize_token, token_list, tokenize, tokens
+from .functions.text import first_token, is_token_char, normalize_token, token_list, tokenize, tokens
 from .operators import postings as ps
 from .operators.blocks import assign_blocks, block_metadata, number_lines
 from .operators.search import SearchResult, matching, response, term_count
-from .plans.compile import from_postings, predicate
-from .plans.query import Query, display, from_json, parse_query
-from .sources.bodies import from_array_body, from_datagrams
+from .operators.store import Store
+from .plans.compile import fetch, from_postings, predicate
+from .plans.query import And, Not, Or, Query, Term, display, from_json, parse_query
+from .sources.bodies import from_array_body, from_datagrams, split_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,8 +45,6 @@ def _sql_list(text: str) -> str:
 
 def _sql_where(q: Query, held: str = "t") -> str:
     """SQL for a query over a list of tokens."""
-    from .plans.query import And, Not, Or, Term
-
     match q:
         case Term(text):
             return f"list_contains({held}, '{text}')" if text else "false"
@@ -92,8 +94,6 @@ def first_tokens(spark, sf_dir):
 @query(r"SELECT DISTINCT c, regexp_matches(c, '^[\p{L}\p{N}_]$') AS is_token, lower(c) AS normal FROM (SELECT unnest(string_split(html, '')) AS c FROM pages) WHERE c <> ''")
 def token_chars(spark, sf_dir):
     """What the tokenizer makes of every character of the pages."""
-    from .functions.text import is_token_char
-
     chars = table(spark, sf_dir, "pages").select(F.explode(F.split("html", "")).alias("c")).filter("c <> ''").distinct()
     return chars.select("c", is_token_char(F.col("c")).alias("is_token"), normalize_token(F.col("c")).alias("normal"))
 
@@ -345,8 +345,6 @@ def tiered_search_order(spark, sf_dir):
 @query(f"SELECT block_id, line_id, text AS line FROM (SELECT *, {_sql_list('text')} AS t FROM {_BLOCKS}) WHERE list_contains(t, 'the') AND NOT list_contains(t, 'of')")
 def fetch_lines(spark, sf_dir):
     """Keys from postings, then the lines of those keys."""
-    from .plans.compile import fetch
-
     lines = _blocks(spark, sf_dir).withColumn("tokens", tokens("line"))
     keys = from_postings(parse_query("the AND NOT of"), ps.postings(lines, ["block_id", "line_id"]), lines)
     return fetch(lines, keys).select("block_id", "line_id", "line")
@@ -355,12 +353,7 @@ def fetch_lines(spark, sf_dir):
 @query("SELECT block_id FROM " + _BLOCKS + " GROUP BY block_id")
 def list_block_ids(spark, sf_dir):
     """Block ids as a store gives them after all is sealed."""
-    import uuid
-
-    from .config import Settings
-    from .operators.store import Store
-
-    store = Store(spark, f"{_scratch(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
     store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
     store.flush()
     return store.block_ids()
@@ -369,27 +362,11 @@ def list_block_ids(spark, sf_dir):
 @query(f"SELECT block_id, line_id FROM (SELECT block_id, line_id, {_sql_list('text')} AS t FROM {_BLOCKS}) WHERE {_sql_where(tree('the AND NOT of'))}")
 def store_search(spark, sf_dir):
     """The same search through a store: sealed blocks by their postings, the open block by its tokens."""
-    import uuid
-
-    from .config import Settings
-    from .operators.store import Store
-
-    store = Store(spark, f"{_scratch(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
     store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
     return store.search("the AND NOT of", indexed=True).matches.select("block_id", "line_id")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that executors share; a temporary one where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="sievelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 # Sources
 
 
@@ -423,8 +400,6 @@ def datagram_split(spark, sf_dir):
     """Payloads of many lines, some empty, some ending in a carriage return."""
     payload = F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n\n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(payload, "UTF-8").alias("payload"))
-    from .sources.bodies import split_lines
-
     lines = docs.select("doc_id", F.explode(split_lines(F.decode("payload", "UTF-8"))).alias("line"))
     return lines.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
 
@@ -439,11 +414,7 @@ def array_body_ingest(spark, sf_dir):
 @query("SELECT ingested FROM (SELECT count(*) AS ingested FROM conversations)")
 def ingest_count(spark, sf_dir):
     """How many lines an ingest takes in."""
-    import uuid
-
-    from .operators.store import Store
-
-    store = Store(spark, f"{_scratch(spark)}/store-{uuid.uuid4().hex}")
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     n = store.ingest(table(spark, sf_dir, "conversations"), "text", order=["conv_id", "turn"])
     return store.lines().agg(F.count("*").alias("ingested")).filter(F.col("ingested") == n)
 
