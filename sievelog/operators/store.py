@@ -12,6 +12,9 @@ ingests, sealed ones in the segments of their seals. A reader holds one version
 The manifest has an entry for each segment, not for each block, and so grows with the number of ingests only; `compact`
 merges sealed segments.
 
+The manifest's rename must be atomic and must fail where the name is taken, as on HDFS and local disks; a store on an
+object store needs one writer at a time.
+
 Lines are on disk before an ingest returns, so the active block outlives its process. An ingest with a batch id that
 was taken before changes nothing, so a stream that repeats a batch after a failure stores it once.
 """
