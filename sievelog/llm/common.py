@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import shared_dir
+
 #: A word, as the contracts define it: a maximal run of bytes other than space and 0x09-0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Text bytes handled at a time inside a Python task; bounds its memory whatever the Arrow batch holds.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,15 +28,6 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sievelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 

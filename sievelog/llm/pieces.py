@@ -34,7 +34,9 @@ from . import common
 
 MARK = "\u2581"
 #: Segments whose ids a Python worker remembers, over tasks.
-MEMORY = 400_000
+MEMORY = 250_000
+#: Segments encoded together; bounds the table of edges.
+TOGETHER = 40_000
 #: Characters of a segment from which on it is relaxed by a heap.
 LONG = 64
 _SEGMENT = re.compile(rb" *[^ \t\n\x0b\x0c]+|[\t\n\x0b\x0c]| +")
@@ -220,7 +222,8 @@ class Encoder:
         self.numbers.fresh.clear()
         # The separator is no character of a segment: a text's NUL is a segment of its own and falls back to its byte.
         plain = [s if "\0" not in s else "" for s in fresh]
-        ids, counts = encode_segments(plain, self.model)
+        coded = [encode_segments(plain[i : i + TOGETHER], self.model) for i in range(0, len(plain), TOGETHER)]
+        ids, counts = (np.concatenate(x) for x in zip(*coded))
         if any("\0" in s for s in fresh):
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, s in enumerate(fresh):

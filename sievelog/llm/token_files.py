@@ -35,7 +35,7 @@ SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10
 BLOCK = 256
 END_ID = 2
 #: Words whose ids a Python worker remembers, over tasks; it forgets all of them beyond that.
-MEMORY = 600_000
+MEMORY = 400_000
 
 _COUNT = np.array([c for c, _ in SELECTORS], np.int64)
 _BITS = np.array([b for _, b in SELECTORS], np.uint64)
