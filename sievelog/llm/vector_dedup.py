@@ -86,7 +86,7 @@ def _count(key, table: pa.Table, threshold: float) -> pa.Table:
     """Links of the first part's rows to the second's, as numbers of vectors."""
     dims = table.column("dim").to_numpy()
     first, second = table.column("first").to_numpy(), table.column("second").to_numpy()
-    ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+    ids, n, roots = (table.column(c).to_numpy() for c in ("id", "n", "root"))
     out_ids, out = [], []
     for dim in np.unique(dims):
         own = dims == dim
@@ -95,7 +95,7 @@ def _count(key, table: pa.Table, threshold: float) -> pa.Table:
         if a.any() and b.any():
             linked = near(x[a], x[b], threshold)
             out_ids.append(ids[own][a])
-            linked[ids[own][a][:, None] == ids[own][b][None, :]] = False
+            linked &= (roots[own][a][:, None] == roots[own][b][None, :]) & (ids[own][a][:, None] != ids[own][b][None, :])
             out.append(linked @ n[own][b])
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64())])
     if not out:
@@ -135,9 +135,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int =
     grouped = grouped.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     sent = grouped.withColumn("to", F.explode(F.flatten(F.array(F.transform(others, lambda p: F.struct(F.col("mine").alias("a"), p.alias("b"), F.lit(True).alias("first"), (p == F.col("mine")).alias("second"))), F.transform(F.filter(others, lambda p: p != F.col("mine")), lambda p: F.struct(p.alias("a"), F.col("mine").alias("b"), F.lit(False).alias("first"), F.lit(True).alias("second")))))))
-    # Small components share a task: a batch of them is compared as one, as links never leave a component.
+    # Small components share a task: a batch of them is compared as one, and only links inside a component count.
     batch = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(max(1, total // max(1, passes) // PART)))).otherwise(F.col("root"))
-    sent = sent.select(batch.alias("batch"), (F.col("parts") > 1).alias("large"), "to.a", "to.b", "to.first", "to.second", "id", "n", "dim", "v")
+    sent = sent.select(batch.alias("batch"), (F.col("parts") > 1).alias("large"), "to.a", "to.b", "to.first", "to.second", "id", "n", "root", "dim", "v")
     counts = sent.groupBy("large", "batch", "a", "b").applyInArrow(lambda key, t: _count(key, t, threshold), "id long, links long")
     counts = counts.groupBy("id").agg(F.sum("links").alias("links"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))

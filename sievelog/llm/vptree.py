@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 from .vectors import cosines, matrix, normed, vectors
 
-SHARD = 8192
-BLOCK = 1024
+SHARD = 16384
+BLOCK = 4096
 LEAF = 128
 #: Slack for rounding where bounds are compared.
 EPSILON = 1e-9
