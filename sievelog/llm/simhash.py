@@ -72,7 +72,7 @@ def _fingerprint(batches):
     for part in common.chunks(batches):
         texts = ["" if t is None else t for t in part.column("text").to_pylist()]
         prints = fingerprints([t.encode() for t in texts])
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(prints.view(np.int64))], ["doc_id", "tag", "fp"])
 
 
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
@@ -167,29 +167,39 @@ def link(prints: DataFrame, scratch: common.Scratch) -> DataFrame:
     return components(edges, scratch)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id (smallest doc_id reachable) of every row."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    scratch = common.Scratch(spark, "simhash")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+def _linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """doc_id, tag (a hash of the text), fp, root (a fingerprint of the component) and component_id of every row."""
+    common.ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("tag", F.xxhash64("text")).mapInArrow(_fingerprint, "doc_id long, tag long, fp long")
     rows = scratch.save(rows, "prints")
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     linked = link(classes.select("fp"), scratch)
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     several = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.save(named.join(several, "root").select(F.col("fp").alias("_fp"), "component_id"), "named")
+    named = scratch.save(named.join(several, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "named")
     scratch.drop("spots", "crowded")
-    return rows.join(named, rows["fp"] == named["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, rows["fp"] == named["_fp"]).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id (smallest doc_id reachable) of every row."""
+    found = _linked(docs, common.Scratch(docs.sparkSession, "simhash"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all its columns."""
-    found = near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = common.Scratch(docs.sparkSession, "first").save(first, "ids")
-    kept = docs.join(first.select(F.col("doc_id").alias("__first_id")).hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if first.filter("n > 1").head(1) else kept
+    """One row of each component, that of the smallest doc_id, with all its columns; a row without an id stays if none has one."""
+    scratch = common.Scratch(docs.sparkSession, "simhash")
+    found = _linked(docs, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    first = found.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("__first_id"), F.col("f.tag").alias("__first_tag"))
+    first = scratch.save(first, "first")
+    repeated = found.groupBy("doc_id", "tag").count().filter("count > 1").head(1)
+    rows = docs.withColumn("__tag", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__first_id")) & (F.col("__tag") == F.col("__first_tag"))
+    kept = rows.join(first.hint("shuffle_hash"), same, "left_semi")
+    return (kept.dropDuplicates(["doc_id", "__tag"]) if repeated else kept).drop("__tag")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

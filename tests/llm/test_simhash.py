@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sievelog.llm import common, simhash
 
@@ -67,4 +68,8 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and 9 not in ids and 1 not in ids and {0, 3, 8} <= set(ids)
+    assert len(ids) == len(set(ids)) and 9 not in ids and 1 not in ids and {0, 3, 8, None} <= set(ids)
+    assert [r["text"] for r in kept.filter("doc_id is null").collect()] == ["no id"]
+    loose = odd_docs.withColumn("doc_id", F.lit(None).cast("long"))
+    texts = [fingerprint(r["text"]) for r in simhash.keep_one(loose).collect()]
+    assert len(set(texts)) == len(texts) == len({r["fingerprint"] for r in rows})
