@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A character of a token, and the separator between tokens.
-TOKEN_CLASS = r"[\p{IsAlphabetic}\p{N}_]"
-SEPARATOR = r"[^\p{IsAlphabetic}\p{N}_]+"
+#: A character of a token, and the separator between tokens. The ASCII ranges say nothing new, but are tested first.
+TOKEN_CLASS = r"[a-zA-Z0-9_\p{IsAlphabetic}\p{N}]"
+SEPARATOR = r"[^a-zA-Z0-9_\p{IsAlphabetic}\p{N}]+"
 
 
 def _text(line: Column | str) -> Column:
@@ -27,14 +27,25 @@ def is_token_char(char: Column) -> Column:
     return char.rlike(f"^{TOKEN_CLASS}$")
 
 
+def _spaced(line: Column | str) -> Column:
+    """The tokens, one space between."""
+    return F.trim(F.regexp_replace(_text(line), SEPARATOR, " "))
+
+
+def folded(line: Column | str) -> Column:
+    """The normalized tokens with one space before, between and behind, so that a line holds a term if this contains it
+    between spaces."""
+    return F.concat(F.lit(" "), normalize_token(_spaced(line)), F.lit(" "))
+
+
 def tokenize(line: Column | str) -> Column:
     """All tokens in order, case and repeats kept. Null has none."""
-    return F.filter(F.split(_text(line), SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(_spaced(line), " "), "")
 
 
 def token_list(line: Column | str) -> Column:
     """All normalized tokens in order, with repeats."""
-    return F.transform(tokenize(line), normalize_token)
+    return F.array_remove(F.split(normalize_token(_spaced(line)), " "), "")
 
 
 def tokens(line: Column | str) -> Column:

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_token, tokens
-from ..plans.compile import guard, predicate
+from ..plans.compile import predicate, predicate_on_text
 from ..plans.query import Query, parse_query, spark_chars
 
 
@@ -17,11 +16,9 @@ def as_query(spark, query: Query | str) -> Query:
 
 
 def matching(lines: DataFrame, query: Query | str, on: Column | None = None, line: str = "line") -> DataFrame:
-    """The lines that match. `on`: their stored tokens; else they are tokenized in the filter."""
+    """The lines that match. `on`: their stored tokens; else lines are folded in the filter."""
     query = as_query(lines.sparkSession, query)
-    if on is not None:
-        return lines.filter(predicate(query, on))
-    return lines.filter(guard(query, normalize_token(F.coalesce(F.col(line), F.lit("")))) & predicate(query, tokens(line)))
+    return lines.filter(predicate_on_text(query, line) if on is None else predicate(query, on))
 
 
 @dataclass

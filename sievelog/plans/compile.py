@@ -1,37 +1,52 @@
 """From queries to plans. Three forms give the same rows:
 
-* `guard(q, lowered) & predicate(q, tokens("line"))`: tokenizes in the filter, and only lines that hold the terms as
-  substrings; for lines without an index.
+* `predicate_on_text(q, "line")`: folds lines in the filter, and only those that hold the terms as substrings; for lines
+  without an index.
 * `predicate(q, col("tokens"))`: the stored tokens; the default.
 * `from_postings`: reads only the query's terms from the inverted index, whose sorted terms prune the scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import folded, normalize_token
 from .query import And, Not, Or, Query, Term, matches, terms
 
 KEY = ["block_id", "line_id"]
 
 
-def predicate(query: Query, tokens: Column) -> Column:
-    """A filter over an array of distinct tokens, which holds no null. Constants are left to the optimizer to fold."""
+def _compile(query: Query, holds: Callable[[str], Column]) -> Column:
+    """A condition, given that of a term. Constants are left to the optimizer to fold."""
     match query:
         case Term(text):
-            return F.array_contains(tokens, text) if text else F.lit(False)
+            return holds(text) if text else F.lit(False)
         case And(children):
-            return reduce(Column.__and__, (predicate(c, tokens) for c in children)) if children else F.lit(False)
+            return reduce(Column.__and__, (_compile(c, holds) for c in children)) if children else F.lit(False)
         case Or(children):
-            return reduce(Column.__or__, (predicate(c, tokens) for c in children), F.lit(False))
+            return reduce(Column.__or__, (_compile(c, holds) for c in children), F.lit(False))
         case Not(child):
-            return ~predicate(child, tokens)
+            return ~_compile(child, holds)
     raise TypeError(f"no query: {query!r}")
 
 
+def predicate(query: Query, tokens: Column) -> Column:
+    """A filter over an array of distinct tokens, which holds no null."""
+    return _compile(query, lambda term: F.array_contains(tokens, term))
+
+
+def predicate_on_text(query: Query, line: str) -> Column:
+    """A filter over raw lines. The line is folded once, whatever the number of terms: the lambda binds it, as a filter
+    would otherwise work it out for every term."""
+    if not terms(query):
+        return F.lit(matches(query))
+    return guard(query, normalize_token(F.coalesce(F.col(line), F.lit("")))) & F.exists(F.array(folded(line)), lambda text: _compile(query, lambda term: F.contains(text, F.lit(f" {term} "))))
+
+
 def guard(query: Query, lowered: Column) -> Column:
     """A cheap condition that every match meets: the terms occur somewhere in the lowered line. What NOT asks for is left open."""
     match query:
