@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, rollup, vptree
+from . import mixing, rollup, substrings, vector_dedup, vptree
 from .langid import op6_langid
 from .mixing import op8_mixing
 from .pieces import op10_sentencepiece
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE, "word_rollup": rollup.ORACLE}
+    return {"op1_vector_dedup": vector_dedup.ORACLE, "op7_substrings": substrings.ORACLE, "op3_vptree": vptree.ORACLE, "op8_mixing": mixing.ORACLE, "word_rollup": rollup.ORACLE}

@@ -344,3 +344,12 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(common.table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM s JOIN m USING (h) WHERE first < doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1)::BIGINT AS k FROM d),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM p ANTI JOIN g USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(t.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
