@@ -55,6 +55,9 @@ def test_normalize(spark):
         '{"message":"m"} x': '{"message":"m"} x',
         '"a" "b"': '"a" "b"',
         '"a","b"': '"a","b"',
+        '"a"],["b"': '"a"],["b"',
+        '"a","v":"b"': '"a","v":"b"',
+        '\t{"msg":"tab"}\n': "tab",
         "null": "null",
         "1": "1",
         '  "ab"  ': "ab",
