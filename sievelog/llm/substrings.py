@@ -234,14 +234,16 @@ def _judge(found: DataFrame, scratch: common.Scratch, level: int) -> DataFrame:
     """The cells that matter: copies of another document's (`copy`), and owners of one of several variants of a key."""
     found = scratch.save(found, f"cells{level}")
     shared = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    found = scratch.save(found.join(shared, "key", "left_semi"), f"shared{level}")
+    found = scratch.save(found.join(scratch.apart(shared, f"keys{level}"), "key", "left_semi"), f"shared{level}")
     scratch.drop(f"cells{level}")
     variants = found.groupBy("key", "same").agg(F.min("doc").alias("owner"))
-    variants = variants.join(variants.groupBy("key").agg(F.count("*").alias("variants")), "key")
+    variants = scratch.save(variants, f"variants{level}")
+    counts = scratch.apart(variants.groupBy("key").agg(F.count("*").alias("variants")), f"counts{level}")
+    variants = scratch.apart(variants.join(counts, "key"), f"owners{level}")
     judged = found.join(variants, ["key", "same"]).filter("doc > owner or variants > 1")
     judged = judged.withColumns({"copy": F.expr("doc > owner"), "crowded": F.col("variants") > MAX_VARIANTS}).drop("same", "owner", "variants")
     judged = scratch.save(judged, f"judged{level}")
-    scratch.drop(f"shared{level}")
+    scratch.drop(*(f"{name}{level}" for name in ("keys", "shared", "variants", "counts", "owners")))
     return judged
 
 
