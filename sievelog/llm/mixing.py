@@ -69,11 +69,17 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def running(rows: DataFrame, value: Column) -> DataFrame:
-    """rows with `before`: the sum of `value` over a source's rows that come earlier in its order."""
+    """rows with `before`: the sum of `value` over a source's rows that come earlier in its order.
+
+    Totals are summed on three levels, so that no task sees more of a source than the rows of one bucket, the 256
+    buckets of one first digit, or its 16 first digits.
+    """
     rows = rows.withColumn("_v", value)
-    totals = rows.groupBy("src", "bucket").agg(F.sum("_v").alias("_t"))
-    buckets = Window.partitionBy("src").orderBy("bucket")
-    offsets = totals.select("src", "bucket", (F.sum("_t").over(buckets) - F.col("_t")).alias("_o"))
+    totals = rows.groupBy("src", "bucket").agg(F.sum("_v").alias("_t")).withColumn("_digit", F.substring("bucket", 1, 1))
+    digits = totals.groupBy("src", "_digit").agg(F.sum("_t").alias("_t"))
+    digits = digits.select("src", "_digit", (F.sum("_t").over(Window.partitionBy("src").orderBy("_digit")) - F.col("_t")).alias("_d"))
+    buckets = Window.partitionBy("src", "_digit").orderBy("bucket")
+    offsets = totals.withColumn("_w", F.sum("_t").over(buckets) - F.col("_t")).join(digits, ["src", "_digit"]).select("src", "bucket", (F.col("_w") + F.col("_d")).alias("_o"))
     inside = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("_b", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return summed.join(offsets, ["src", "bucket"]).withColumn("before", F.col("_b") + F.col("_o")).drop("_v", "_b", "_o")
@@ -115,7 +121,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("extra", fits & (F.col("size") > 0)).withColumn("extra_before", F.when(F.col("extra"), F.col("base") * F.col("source_size") + F.col("before")))
     rows = scratch.save(rows.withColumnRenamed("before", "own_before"), "fill0")
     for i in range(1, FILLS):
-        gaps = rows.groupBy("src").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("given"))
+        gaps = scratch.apart(rows.groupBy("src").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("given")), f"gaps{i}")
         rows = rows.join(gaps, "src")
         gap = room - F.col("given")
         small = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= gap)
@@ -126,7 +132,7 @@ def mix(docs: DataFrame) -> DataFrame:
         scratch.drop(f"fill{i - 1}")
     scratch.drop("sizes")
     copies = F.col("base") + F.col("extra").cast("long")
-    taken_all = rows.groupBy("src").agg(F.sum(copies * F.col("size")).alias("source_taken"))
+    taken_all = scratch.apart(rows.groupBy("src").agg(F.sum(copies * F.col("size")).alias("source_taken")), "taken")
     rows = rows.join(taken_all, "src").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
     first = F.when(F.col("base") > 0, F.col("own_before")).otherwise(F.col("extra_before"))
     return rows.select("doc_id", "source", "size", "source_size", "weight", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "base", "own_before", "extra_before", "source_taken", position(first).alias("first_position"))
