@@ -64,9 +64,9 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str = "edges") -
     now, seen, i = scratch.save(pairs, f"{name}0"), None, 0
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low")
+        large = scratch.save(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        low = scratch.apart(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         small = small.select("e.u", "e.v").filter("u <> v").distinct()
         i += 1

@@ -176,7 +176,8 @@ def _linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     linked = link(classes.select("fp"), scratch)
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    several = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.save(named, "rooted")
+    several = scratch.apart(named.groupBy("root").agg(F.min("least").alias("component_id")), "several")
     named = scratch.save(named.join(several, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "named")
     scratch.drop("spots", "crowded")
     return rows.join(named, rows["fp"] == named["_fp"]).drop("_fp")
