@@ -9,7 +9,7 @@ once, where it is read, by every tokenizer version. A batch commits two tables:
 A delta takes away what the ledger held of a batch's documents before and adds what holds now, so totals are plain sums
 over all batches, whatever their order of reading. A batch is staged apart and renamed into place by its id as its last
 act: a batch that failed half-way or ran on a lost executor leaves nothing that counts, and one that is delivered again
-finds its id and changes nothing.
+finds its id and changes nothing. One writer at a time.
 
 Documents are known by doc_id. Rows of one batch that share an id are one document, and that with most tokens counts;
 rows without an id are counted each for itself and can't be revised. Null text has no tokens but is a document; a null
@@ -19,6 +19,7 @@ source or language is a group of its own. Deleting what isn't there changes noth
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 
 import pyarrow as pa
@@ -76,14 +77,15 @@ class TokenRollup:
     def _read(self, table: str, schema: str) -> DataFrame | None:
         where, fs = self._fs(f"{self.path}/batches")
         names = sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/batches/{n}/{table}").withColumn("seq", F.lit(int(n.partition("-")[0]))) for n in names]
-        out = None
-        for part in parts:
-            out = part if out is None else out.unionByName(part)
-        return out
+        if not names:
+            return None
+        read = self.spark.read.schema(schema).parquet(*(f"{self.path}/batches/{n}/{table}" for n in names))
+        return read.withColumn("seq", F.regexp_extract(F.col("_metadata.file_path"), r"/batches/(\d+)-", 1).cast("long"))
 
     def apply(self, batch_id: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Commit a batch of documents (doc_id, text, source, lang) and of doc_ids to delete. False: it was there."""
+        if not re.fullmatch(r"[\w.=-]+", batch_id, re.ASCII):
+            raise ValueError("a batch id consists of letters, digits and _ . = -")
         done = self.batches()
         if batch_id in done:
             return False

@@ -52,6 +52,8 @@ def test_batches_of_changes(spark, tmp_path):
         assert read(r) == want
         assert not r.apply(f"b{b}", up, down) and read(r) == want
     assert r.batches() == ["b0", "b1", "b2", "b3"]
+    with pytest.raises(ValueError):
+        r.apply("a/b", up)
     again = rollup.TokenRollup(spark, f"file://{tmp_path}/counts", VERSIONS)
     assert read(again) == totals(state)
 
