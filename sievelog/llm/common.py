@@ -196,5 +196,54 @@ class WordIds(dict):
         return number
 
 
+class Codes:
+    """The codes of words met so far, at most about `limit` words: beyond it those used once since the last time go, and
+    of the others the more used half of the limit stays."""
+
+    def __init__(self, limit: int, kind: type):
+        self.limit, self.numbers = limit, WordIds()
+        self.ids, self.starts, self.lengths, self.uses = np.zeros(1 << 16, kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, words: list[bytes], learn) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all words one after the other, and the number of each word's. learn: words to the same, for new ones."""
+        if len(self.numbers) > self.limit:
+            self._forget()
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.fresh:
+            ids, lengths = learn(self.numbers.fresh)
+            self.numbers.fresh.clear()
+            used = int(self.lengths.sum())
+            need = used + len(ids)
+            if need > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), self.ids.dtype)])
+            self.ids[used:need] = ids
+            self.starts = np.concatenate([self.starts, used + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.uses = np.concatenate([self.uses, np.zeros(len(lengths), np.int64)])
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        lengths = self.lengths[numbers]
+        return self.ids[ragged(self.starts[numbers], lengths)], lengths
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.limit // 2]])
+        words = list(self.numbers)
+        self.numbers = WordIds()
+        for i in kept.tolist():
+            self.numbers[words[i]] = len(self.numbers)
+        lengths = self.lengths[kept]
+        ids = self.ids[ragged(self.starts[kept], lengths)]
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, ids.dtype)])
+        self.starts, self.lengths, self.uses = np.cumsum(lengths) - lengths, lengths, np.zeros(len(kept), np.int64)
+
+
+def per_row(words: list[list], lengths: np.ndarray) -> np.ndarray:
+    """The number of codes of each row, from its words and the number of each word's."""
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    return before[edge[1:]] - before[edge[:-1]]
+
+
 def unsigned_crc32(text_column) -> "F.Column":
     return F.crc32(F.encode(text_column.cast("string"), "UTF-8"))

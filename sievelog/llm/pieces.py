@@ -212,50 +212,30 @@ def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.n
 class Encoder:
     def __init__(self, file: str):
         self.model = Model(file)
-        self._forget()
+        self.codes = common.Codes(MEMORY, np.int32)
 
-    def _forget(self) -> None:
-        self.numbers, self.ids, self.starts, self.lengths = common.WordIds(), np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        fresh = [s.decode().replace(" ", MARK) for s in self.numbers.fresh]
-        self.numbers.fresh.clear()
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        fresh = [s.decode().replace(" ", MARK) for s in fresh]
         # The separator is no character of a segment: a text's NUL is a segment of its own and falls back to its byte.
         plain = [s if "\0" not in s else "" for s in fresh]
         coded = [encode_segments(plain[i : i + TOGETHER], self.model) for i in range(0, len(plain), TOGETHER)]
         ids, counts = (np.concatenate(x) for x in zip(*coded))
-        if any("\0" in s for s in fresh):
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for i, s in enumerate(fresh):
-                if "\0" in s:
-                    pieces = []
-                    for j, sub in enumerate(s.split("\0")):
-                        pieces += [np.array([self.model.byte_ids[0]], np.int32)] * (j > 0) + ([encode_segments([sub], self.model)[0]] if sub else [])
-                    parts[i] = np.concatenate(pieces)
-            ids, counts = np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
-        used = int(self.lengths.sum())
-        need = used + len(ids)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.int32)])
-        self.ids[used:need] = ids
-        self.starts = np.concatenate([self.starts, used + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
+        if plain == fresh:
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i, s in enumerate(fresh):
+            if "\0" in s:
+                pieces = []
+                for j, sub in enumerate(s.split("\0")):
+                    pieces += [np.array([self.model.byte_ids[0]], np.int32)] * (j > 0) + ([encode_segments([sub], self.model)[0]] if sub else [])
+                parts[i] = np.concatenate(pieces)
+        return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of each one's."""
-        if len(self.numbers) > MEMORY:
-            self._forget()
         split = [_SEGMENT.findall(b" " + t.replace(MARK, " ").encode()) if t else [] for t in texts]
-        per_row = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [s for ss in split for s in ss]
-        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        if self.numbers.fresh:
-            self._learn()
-        lengths = self.lengths[numbers]
-        ids = self.ids[common.ragged(self.starts[numbers], lengths)]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        edge = np.concatenate([[0], np.cumsum(per_row)])
-        return ids, before[edge[1:]] - before[edge[:-1]]
+        ids, lengths = self.codes.look_up([s for ss in split for s in ss], self._learn)
+        return ids, common.per_row(split, lengths)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts that ids stand for; bytes that are no UTF-8 become replacement characters."""

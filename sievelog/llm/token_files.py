@@ -34,7 +34,7 @@ from . import common
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK = 256
 END_ID = 2
-#: Words whose ids a Python worker remembers, over tasks; it forgets all of them beyond that.
+#: Words whose ids a Python worker remembers, over tasks.
 MEMORY = 400_000
 
 _COUNT = np.array([c for c, _ in SELECTORS], np.int64)
@@ -163,54 +163,30 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        if len(self.mark) != 1:
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        if len(mark) != 1:
             raise ValueError("this tokenizer has no token for the mark between words")
-        self._forget()
+        self.mark = mark[0]
+        self.codes = common.Codes(MEMORY, np.uint32)
 
-    def _forget(self) -> None:
-        self.numbers, self.ids, self.starts, self.lengths = common.WordIds(), np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        """Encode the fresh words, many in one text, between marks that no word holds."""
-        fresh = [w.decode() for w in self.numbers.fresh]
-        self.numbers.fresh.clear()
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words, many in one text, between marks that no word holds."""
+        fresh = [w.decode() for w in fresh]
         if any(MARK in w for w in fresh):
-            texts = [f"{w} {MARK}" if MARK not in w else w for w in fresh]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            found = [ids if MARK in w else ids[: -len(self.mark)] for ids, w in zip(found, fresh)]
-            lengths, ids = np.array([len(x) for x in found], np.int64), np.concatenate(found)
-        else:
-            texts = [f" {MARK} ".join(fresh[i : i + 256]) + f" {MARK}" for i in range(0, len(fresh), 256)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == self.mark[0])
-            lengths = np.diff(ends, prepend=-1) - 1
-            ids = ids[ids != self.mark[0]]
-        used = int(self.lengths.sum())
-        need = used + len(ids)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.uint32)])
-        self.ids[used:need] = ids
-        self.starts = np.concatenate([self.starts, used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            return np.concatenate(found), np.array(list(map(len, found)), np.int64)
+        texts = [f" {MARK} ".join(fresh[i : i + 256]) + f" {MARK}" for i in range(0, len(fresh), 256)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(ends, prepend=-1) - 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and the number of each row's."""
-        if len(self.numbers) > MEMORY:
-            self._forget()
         data, offsets = simplify(data, offsets)
         raw = data.tobytes()
         words = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        per_row = np.fromiter(map(len, words), np.int64, len(words))
-        flat = [w for ws in words for w in ws]
-        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        if self.numbers.fresh:
-            self._learn()
-        lengths = self.lengths[numbers]
-        ids = self.ids[common.ragged(self.starts[numbers], lengths)]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        edge = np.concatenate([[0], np.cumsum(per_row)])
-        return ids, before[edge[1:]] - before[edge[:-1]]
+        ids, lengths = self.codes.look_up([w for ws in words for w in ws], self._learn)
+        return ids, common.per_row(words, lengths)
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -67,3 +67,20 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert back[1] == [2] and back[3][-1] == 2
     tf.write_token_files(no_docs, path + "0", FILE)
     assert found(tf.digest_token_files(spark, path + "0")) == []
+
+
+def test_codes_forget_and_learn_again():
+    """However few words are remembered, the codes are the same."""
+    rng = random.Random(6)
+    learnt = []
+
+    def learn(words):
+        learnt.extend(words)
+        return np.array([c for w in words for c in w], np.uint32), np.array(list(map(len, words)), np.int64)
+
+    codes = common.Codes(40, np.uint32)
+    for _ in range(60):
+        words = [b"w%d" % int(rng.paretovariate(0.7)) if rng.random() < 0.9 else b"" for _ in range(rng.randrange(50))]
+        ids, lengths = codes.look_up(words, learn)
+        assert ids.tolist() == [c for w in words for c in w] and lengths.tolist() == list(map(len, words))
+    assert len(codes.numbers) <= 90 and learnt.count(b"w1") == 1 and len(learnt) > len(set(learnt))
