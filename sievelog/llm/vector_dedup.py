@@ -130,7 +130,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int =
     scratch.drop("ordered")
 
     members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = scratch.save(members, "members")
+    sizes = scratch.apart(members.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
     grouped = scratch.save(classes.join(members.join(sizes, "root"), F.col("id") == F.col("node")).select("id", "n", "least", "dim", "v", "root", "parts"), "grouped")
     grouped = grouped.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -140,8 +141,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int =
     sent = sent.select(batch.alias("batch"), (F.col("parts") > 1).alias("large"), "to.a", "to.b", "to.first", "to.second", "id", "n", "root", "dim", "v")
     counts = sent.groupBy("large", "batch", "a", "b").applyInArrow(lambda key, t: _count(key, t, threshold), "id long, links long")
     counts = counts.groupBy("id").agg(F.sum("links").alias("links"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    found = grouped.join(named, "root").join(counts, "id", "left").select(F.col("id").alias("_id"), "component", F.coalesce("links", F.lit(0)).alias("links"))
+    named = scratch.apart(grouped.groupBy("root").agg(F.min("least").alias("component")), "named")
+    found = scratch.read("grouped", grouped.drop("mine")).join(named, "root").join(counts, "id", "left").select(F.col("id").alias("_id"), "component", F.coalesce("links", F.lit(0)).alias("links"))
     per_class = scratch.save(classes.join(found, classes["id"] == found["_id"], "left").select("v", "n", "least", F.coalesce("component", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "result")
     scratch.drop("grouped", "linked")
     named = fit.join(per_class.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("vec_id", "n_links", "component_id")
