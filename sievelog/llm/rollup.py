@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Files of a batch's deltas, which are a row for each group and so few.
+DELTA_FILES = 4
 _COUNTS = ("docs_added", "tokens_added", "docs_removed", "tokens_removed")
 _LEDGER_DDL = "doc_id long, tokenizer string, live boolean, source string, lang string, tokens long"
 
@@ -119,7 +121,7 @@ class TokenRollup:
             last = before.join(touched, ["doc_id", "tokenizer"], "left_semi").groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("live", "source", "lang", "tokens"), "seq").alias("s")).filter("s.live")
             added = added.unionByName(last.select("s.source", "s.lang", "tokenizer", F.lit(0).alias("docs_added"), F.lit(0).alias("tokens_added"), F.lit(1).alias("docs_removed"), F.col("s.tokens").alias("tokens_removed")))
         deltas = added.groupBy(*group).agg(*(F.sum(c).cast("long").alias(c) for c in _COUNTS))
-        deltas.write.parquet(f"{staged}/deltas")
+        deltas.coalesce(DELTA_FILES).write.parquet(f"{staged}/deltas")
 
         counted, fs = self._fs(f"{staged}/counted")
         fs.delete(counted, True)
