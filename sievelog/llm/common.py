@@ -46,11 +46,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.read(name, df)
 
-    def apart(self, df: DataFrame, name: str) -> DataFrame:
+    def apart(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         """Save what was grouped by the key of a join to come. Spark splits a skewed side of a join only if each side
-        comes straight from an exchange, which a table read again does and an aggregate in the same stage doesn't.
+        comes straight from an exchange, which a table read again does and an aggregate in the same stage doesn't. `files`: for tables of few rows.
         """
-        return self.save(df, name)
+        return self.save(df if files is None else df.coalesce(files), name)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))

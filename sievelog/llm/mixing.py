@@ -111,7 +111,7 @@ def mix(docs: DataFrame) -> DataFrame:
     key = F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), key.alias("key"))
     rows = scratch.save(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "sizes")
-    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
+    sources = scratch.apart(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources", files=1)
     sources = sources.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = sources.withColumnRenamed("source", "name")
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["name"])).drop("name")
@@ -121,7 +121,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("extra", fits & (F.col("size") > 0)).withColumn("extra_before", F.when(F.col("extra"), F.col("base") * F.col("source_size") + F.col("before")))
     rows = scratch.save(rows.withColumnRenamed("before", "own_before"), "fill0")
     for i in range(1, FILLS):
-        gaps = scratch.apart(rows.groupBy("src").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("given")), f"gaps{i}")
+        gaps = scratch.apart(rows.groupBy("src").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("given")), f"gaps{i}", files=1)
         rows = rows.join(gaps, "src")
         gap = room - F.col("given")
         small = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= gap)
@@ -132,7 +132,7 @@ def mix(docs: DataFrame) -> DataFrame:
         scratch.drop(f"fill{i - 1}")
     scratch.drop("sizes")
     copies = F.col("base") + F.col("extra").cast("long")
-    taken_all = scratch.apart(rows.groupBy("src").agg(F.sum(copies * F.col("size")).alias("source_taken")), "taken")
+    taken_all = scratch.apart(rows.groupBy("src").agg(F.sum(copies * F.col("size")).alias("source_taken")), "taken", files=1)
     rows = rows.join(taken_all, "src").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
     first = F.when(F.col("base") > 0, F.col("own_before")).otherwise(F.col("extra_before"))
     return rows.select("doc_id", "source", "size", "source_size", "weight", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "base", "own_before", "extra_before", "source_taken", position(first).alias("first_position"))
