@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 from .components import Forest, components
 
 SHINGLE = 3
@@ -190,9 +190,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all its columns; a row without an id stays if none has one."""
+    """One row of each component, that of the smallest doc_id, with all its columns; a row without an id stays if none has one.
+
+    Components are those of five-word shingles with a similarity of 0.8 or more (`shingles.py`), not those of near_duplicates().
+    """
     scratch = common.Scratch(docs.sparkSession, "simhash")
-    found = _linked(docs, scratch)
+    found = shingles.linked(docs, scratch)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     first = found.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("__first_id"), F.col("f.tag").alias("__first_tag"))
     first = scratch.save(first, "first")
