@@ -1,12 +1,17 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 Equal vectors are one class from the start, whatever their number; a class is represented by its smallest id. In each
-of PASSES passes the classes are ordered by the concatenated signs of their products with random directions (BITS
+pass the classes are ordered by the concatenated signs of their products with random directions (BITS
 one-bit hashes to a 63-bit key; lexicographic order is numeric order). All passes are sorted at once, and the order is
 cut into blocks of WINDOW rows. Each block is compared with itself and with the one behind it, so a row meets at least
 its WINDOW next neighbours of each pass. Pairs are verified by their cosine, in double precision; a block gives back a
 spanning forest of its links. The links of all passes are united into components.
 
+The number of passes follows from the table (`passes_needed`): PROBES sampled vectors get partners at exactly the
+threshold, one in a random direction and one towards the nearest other probe, and how often a partner is within reach
+in TRIALS orders is counted over the rows in between (a sample of about SAMPLE rows, scaled). There are as many passes,
+at least PASSES, as the expected recall of all probes (RECALL) and of their poorest tenth (POOREST) takes.
+
 Then links are counted exactly inside each component: its members are dealt to parts of at most about PART rows, and
 every pair of parts is compared by one task, which gives back counts and no pairs. So a group of any size is counted in
 bounded pieces, and `n_links` misses a link only where the passes joined its ends by no path at all.
@@ -28,7 +33,10 @@ from .components import Forest, components
 from .vectors import matrix, normed, cosines, usable
 
 THRESHOLD = 0.9
+#: Passes at least.
 PASSES = 12
+PROBES, TRIALS, SAMPLE = 256, 64, 1 << 17
+RECALL, POOREST = 0.99, 0.97
 BITS = 60
 WINDOW = 256
 PART = 1024
@@ -103,8 +111,88 @@ def _count(key, table: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out).astype(np.int64))], schema=schema)
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def partners(x: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row two unit vectors at a cosine of `threshold` to it: in a random direction, and towards the nearest other row."""
+    x = normed(x)
+    c = x @ x.T
+    np.fill_diagonal(c, -2)
+    # Where the nearest is so near that nothing of it is left across the row, the random direction stands in.
+    c[c >= 1 - EPSILON] = -2
+    toward = [np.random.default_rng(SEED).standard_normal(x.shape), x[c.argmax(axis=1)]]
+    out = []
+    for z in toward:
+        z = z - (z * x).sum(axis=1, keepdims=True) * x
+        length = np.sqrt((z * z).sum(axis=1, keepdims=True))
+        across = np.where(length > EPSILON, z / np.where(length > EPSILON, length, 1), 0)
+        out.append(threshold * x + np.sqrt(1 - threshold**2) * across)
+    return np.stack(out)
+
+
+def _sorting_keys(x: np.ndarray, trials: int) -> np.ndarray:
+    made = directions(x.shape[1], trials, BITS)
+    return (x @ made > 0).reshape(len(x), trials, BITS).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+
+
+def _between(batches, probes: dict, threshold: float):
+    """For each probe, kind of partner and trial: how many rows lie between, but for those that the probe links with."""
+    total = {dim: np.zeros((2, len(x), TRIALS), np.int64) for dim, (x, _, _) in probes.items()}
+    for batch in batches:
+        sizes = pa.compute.list_value_length(batch.column("v")).to_numpy()
+        for dim in np.unique(sizes):
+            if dim not in probes:
+                continue
+            x, low, high = probes[dim]
+            rows = matrix(batch.filter(pa.array(sizes == dim)).column("v"))
+            for at in range(0, len(rows), 2048):
+                part = normed(rows[at : at + 2048])
+                keys = _sorting_keys(part, TRIALS)
+                order = np.sort(keys, axis=0)
+                linked, who = np.nonzero(part @ x.T >= threshold)
+                for t in range(TRIALS):
+                    total[dim][:, :, t] += np.searchsorted(order[:, t], high[:, :, t], "left") - np.searchsorted(order[:, t], low[:, :, t], "right")
+                for kind in (0, 1):
+                    inside = (keys[linked] > low[kind][who]) & (keys[linked] < high[kind][who])
+                    np.subtract.at(total[dim][kind], who, inside.astype(np.int64))
+    for dim, counts in total.items():
+        flat = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), dim, np.int32)), pa.array(flat), pa.array(counts.ravel()[flat])], ["dim", "place", "n"])
+
+
+def passes_needed(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> int:
+    """Passes that the expected recall of pairs at the threshold takes, for classes (id, v) of their number and density."""
+    total = classes.count()
+    picked = classes.select("v").orderBy(F.xxhash64("id", F.lit(SEED))).limit(PROBES).toPandas()["v"]
+    probes, by_dim = {}, {}
+    for v in picked:
+        by_dim.setdefault(len(v), []).append(v)
+    for dim, rows in by_dim.items():
+        x = normed(np.array(rows, float))
+        own, other = _sorting_keys(x, TRIALS)[None], np.stack([_sorting_keys(y, TRIALS) for y in partners(x, threshold)])
+        probes[dim] = (x, np.minimum(own, other), np.maximum(own, other))
+    if total <= 2 * window or not probes:
+        return PASSES
+    step = -(-total // SAMPLE)
+    sample = classes.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v")
+    counted = sample.mapInArrow(lambda b: _between(b, probes, threshold), "dim int, place long, n long").groupBy("dim", "place").agg(F.sum("n").alias("n")).toPandas()
+    chances = []
+    for dim, (x, _, _) in probes.items():
+        counts = np.zeros(2 * len(x) * TRIALS)
+        mine = counted[counted["dim"] == dim]
+        counts[mine["place"].to_numpy()] = mine["n"].to_numpy()
+        # A block meets itself and the next: always up to `window` rows away, never from twice that.
+        reach = np.clip(2 - (counts * step + 1) / window, 0, 1).reshape(2, len(x), TRIALS)
+        chances.append((reach.sum(axis=2) + 0.5) / (TRIALS + 1))
+    chances = np.sort(np.concatenate(chances, axis=1), axis=1)
+    passes = PASSES
+    while True:
+        recall = 1 - (1 - chances) ** passes
+        if recall.mean(axis=1).min() >= RECALL and recall[:, : -(-recall.shape[1] // 10)].mean(axis=1).min() >= POOREST:
+            return passes
+        passes += 1
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row. passes: as many as the table needs, if not given."""
     spark = rows.sparkSession
     common.ship(spark)
     scratch = common.Scratch(spark, "vectors")
@@ -112,6 +200,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int =
     fit = scratch.save(rows.filter(usable(F.col("v"))), "fit")
     classes = scratch.save(fit.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).select(F.xxhash64("least", "v").alias("id"), "least", "n", F.size("v").alias("dim"), "v"), "classes")
 
+    passes = passes_needed(classes, threshold, window) if passes is None else passes
     keys = classes.select("id", "v").mapInArrow(lambda b: _keys(b, passes, BITS), "pass int, dim int, key long, id long")
     ordered = keys.repartitionByRange(common.spread(keys), "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
     ordered = scratch.save(ordered.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("inside")), "ordered")
