@@ -11,6 +11,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ class Scratch:
             pass
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """A table as read from its files, sorted as it was written: files by their number, rows by their place. What isn't
+    read from files keeps the order it has. Spark itself deals files to tasks by size.
+    """
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
+    try:
+        placed = df.select("*", number.alias("__file"), name.alias("__name"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return df
+    return placed.orderBy("__file", "__name", "__row").drop("__file", "__name", "__row")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python tasks can import it anywhere."""
     sc = spark.sparkContext
