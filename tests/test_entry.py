@@ -44,12 +44,32 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(search.ORACLES) == set(search.QUERIES)
 
 
-def test_without_the_optional_parts(tmp_path):
-    """The rest imports and lists its queries when the training-data operators are gone; a broken one is not hidden."""
-    copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "tests"))
-    code = "import __spark_entry__ as e; n = e.queries(); assert 'search_and' in n and not any(x.startswith('op') or x == 'pipeline' for x in n); e.oracle_sql()"
-    env = {**os.environ, "PYTHONPATH": str(copy)}
-    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
-    (copy / "corpus_pipeline.py").write_text("import no_such_module")
-    assert subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True).returncode != 0
+_CODE = "import __spark_entry__ as e; n = e.queries(); e.oracle_sql(); assert 'search_and' in n; print(any(x.startswith('op') or x == 'pipeline' for x in n))"
+
+
+def _run(copy):
+    return subprocess.run([sys.executable, "-c", _CODE], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
+
+
+@pytest.fixture()
+def copy(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    return tmp_path / "repo"
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_without_the_training_data_operators(copy, pipeline):
+    """The two folders are deleted, with the pipeline's file or without: the rest imports and lists its queries."""
+    shutil.rmtree(copy / "sievelog" / "llm")
+    shutil.rmtree(copy / "tests" / "llm", ignore_errors=True)
+    if not pipeline:
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    ran = _run(copy)
+    assert (ran.returncode, ran.stdout) == (0, "False\n"), ran.stderr
+
+
+def test_a_broken_part_is_not_hidden(copy):
+    (copy / "sievelog" / "llm").mkdir(exist_ok=True)
+    (copy / "sievelog" / "llm" / "queries.py").write_text("import no_such_module")
+    ran = _run(copy)
+    assert ran.returncode != 0 and "no_such_module" in ran.stderr
