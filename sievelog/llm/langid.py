@@ -7,12 +7,15 @@ weighing the same. The bits' margins are decoded by loss: the language whose cod
 exp(-margin)), bits weighed by how well they tell training texts apart. Where the best two are close the answer is
 marked ambiguous.
 
-Training texts are a sample of at most about SAMPLE rows that have a language, by hash of their id; n-gram counts of
-whole texts are added up per language. Codewords are all ways to split up to 6 languages in two, or CODE_BITS random
-splits of more, drawn from a fixed seed for the greatest distance.
-
-Null texts and those without a letter get `und`, score 0. Where nothing can be learnt every text does. Null languages are
-not learnt from. Extra columns are ignored.
+Training texts are at most about `per_language` different texts of each language, those with the least hashes; a
+language of fewer texts is learnt from all of them, whatever the size of the others. Ids play no part, and rows that
+repeat a text of a language count once. n-gram counts of whole texts are added up per language. Codewords are all ways
+to split up to 6 languages in two, or CODE_BITS random splits of more, drawn from a fixed seed for the greatest distance.
+
+Null texts and those without a letter get `und`, score 0. Where nothing can be learnt every text does, as in an empty
+table, which gives no rows. Null languages are not learnt from. A null doc_id is not held out. Rows that share a doc_id
+are predicted each for itself. Between languages whose losses tie the first by code point is named, and the answer is
+marked ambiguous. Long texts are read whole, and counted in bounded memory. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS = 1 << 14
-SAMPLE = 8000
+#: Training texts of a language, about.
+PER_LANGUAGE = 2000
 CODE_BITS = 31
 #: Difference of the best two probabilities below which an answer is ambiguous.
 AMBIGUOUS = 0.2
@@ -95,6 +99,8 @@ def _count(batches):
 class Codes:
     """Codewords of the languages and the weights of every bit's classifier."""
 
+    ambiguous = AMBIGUOUS
+
     def __init__(self, counts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
         if not self.langs:
@@ -122,7 +128,7 @@ class Codes:
         best = odds.argmax(axis=1)
         second = np.sort(odds, axis=1)[:, -2] if odds.shape[1] > 1 else np.zeros(len(odds))
         top = odds.max(axis=1)
-        return best, top, top - second < AMBIGUOUS
+        return best, top, top - second < self.ambiguous
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray, texts) -> np.ndarray:
@@ -162,23 +168,30 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(common.unsigned_crc32(doc_id) % 5 == 0, F.lit(False))
 
 
-def fit(rows: DataFrame) -> Codes:
+def sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, text) to learn from: of every language its different texts, about `per_language` of them if there are more."""
+    known = rows.filter("not held_out and lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    # Copies are one before anything of theirs is moved, so no text weighs more for being repeated. A row a language.
+    sizes = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(float(per_language)) / F.col("n"), F.lit(1.0)) * (1 << 32)
+    dealt = known.join(F.broadcast(sizes.select("lang", share.cast("long").alias("below"))), "lang").filter(F.shiftrightunsigned("h", 32) < F.col("below"))
+    return dealt.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Codes:
     """From (doc_id, held_out, text, lang)."""
-    known = rows.filter("not held_out and lang is not null and text is not null")
-    n = known.count()
-    if n > SAMPLE:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) < int(SAMPLE / n * (1 << 20)) + 1)
     counts: dict[str, np.ndarray] = {}
-    for r in known.select("lang", "text").repartition(COUNTERS).mapInArrow(_count, "lang string, n long, counts array<double>").collect():
+    for r in sample(rows, per_language).repartition(COUNTERS).mapInArrow(_count, "lang string, n long, counts array<double>").collect():
         counts[r["lang"]] = counts.get(r["lang"], 0) + np.array(r["counts"])
     return Codes(counts)
 
 
-def predict(docs: DataFrame) -> DataFrame:
+def predict(docs: DataFrame, per_language: int = PER_LANGUAGE, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous of every row."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = fit(rows)
+    model = fit(rows, per_language)
+    model.ambiguous = ambiguous
     return rows.drop("lang").mapInArrow(lambda b: _predict(b, model), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
