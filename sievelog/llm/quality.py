@@ -2,14 +2,18 @@
 
 Statistics come from a text's bytes alone; labels, language, source and id are no inputs. Shares are smoothed towards
 typical values with the weight of SMOOTH characters or words, so that a short text is judged by little evidence, and
-then taken to a log scale. Each class of the labelled documents gets its mean and its covariance, shrunk towards a
-multiple of the identity; both come from sums that tasks add up over all labelled rows (no sample, and nothing the
-size of the data reaches the driver: a few hundred numbers for each class). A score is the logistic of the difference
-of log densities plus log priors; the Mahalanobis terms use Cholesky factors made once.
-
-Null text counts as empty; an empty text is scored like any other. Labels that are null are left out, and every label
-row of an id counts. Where a class has no labelled rows, all scores are 0.5. Extra columns are ignored by `score` and
-kept by `keep_good`.
+then taken to a log scale. Each class of the labelled documents gets its mean and its covariance. That of a class is
+drawn towards the pooled one with the weight of POOLED rows, so that a class of few rows, or one, is judged by what all
+rows show, and then shrunk towards a multiple of the identity. Both come from sums that tasks add up, a few hundred
+numbers for each class; they are taken over at most about `per_class` labelled documents of each class, those with the
+least hashes of their ids (a bound on the fit; every document is scored). A score is the logistic of the difference of
+log densities plus log priors; the Mahalanobis terms use Cholesky factors made once.
+
+Null text counts as empty; an empty text is scored like any other, a long one whole. Labels that are null are left out.
+An id that is labelled several times counts once for each class; rows that share an id are scored each for itself, and
+all learnt from. A null doc_id is not held out. Where a class has no labelled documents, all scores are 0.5, which
+predicts 1. A score of exactly 0.5 predicts 1. Empty tables give no rows. Extra columns are ignored by `score` and kept
+by `keep_good`.
 """
 
 from __future__ import annotations
@@ -39,8 +43,10 @@ _MARK[33:127] = 1
 _MARK[(_UPPER + _LOWER + _DIGIT + _PAUSE) > 0] = 0
 #: Typical shares that smoothing leans to: capitals, pauses, marks, repeated neighbours, repeated words, short and long words.
 _TYPICAL = {"upper": 0.02, "pause": 0.02, "mark": 0.01, "echo": 0.005, "again": 0.2, "short": 0.2, "long": 0.05, "capital": 0.1, "bare": 0.01}
-#: Labelled rows of a class below which nothing is learnt.
-LEAST = 3
+#: Rows that the pooled covariance counts for in that of a class.
+POOLED = 24.0
+#: Labelled documents of a class to learn from, about.
+PER_CLASS = 50_000
 FEATURES = [*_TYPICAL, "word_length", "spread", "words"]
 
 
@@ -115,12 +121,15 @@ class Discriminant:
         if len(moments) < 2:
             return
         whole = sum(m[0] for m in moments.values())
+        means = {c: m[1 : d + 1] / m[0] for c, m in moments.items()}
+        scatter = {c: m[d + 1 :].reshape(d, d) - m[0] * np.outer(means[c], means[c]) for c, m in moments.items()}
+        pooled = (sum(scatter.values()) + np.eye(d)) / (whole + 1)  # one row's worth of the identity, where there is little else
         for c in (0, 1):
-            n, mean = moments[c][0], moments[c][1 : d + 1] / moments[c][0]
-            cov = moments[c][d + 1 :].reshape(d, d) / n - np.outer(mean, mean)
+            n = moments[c][0]
+            cov = (scatter[c] + POOLED * pooled) / (n + POOLED)
             cov = (1 - shrinkage) * cov + (shrinkage * np.trace(cov) / d + 1e-6) * np.eye(d)
             factor = np.linalg.cholesky(cov)
-            self.parts.append((mean, np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log(n / whole)))
+            self.parts.append((means[c], np.linalg.inv(factor), np.log(np.diag(factor)).sum(), np.log(n / whole)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.parts:
@@ -132,14 +141,24 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPERATURE, -500, 500)))
 
 
-def fit(features: DataFrame, labels: DataFrame) -> Discriminant:
-    """From (doc_id, held_out, x) and (doc_id, quality)."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
-    known = features.filter("not held_out").join(marked, "doc_id").select("quality", "x")
-    sums = known.mapInArrow(_moments, "quality int, m array<double>")
+def marked(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, quality) to learn from: no held-out ids, each once a class, about `per_class` of a class if there are more."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = known.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    sizes = known.groupBy("quality").agg(F.count("*").alias("n"))  # two rows
+    share = F.least(F.lit(float(per_class)) / F.col("n"), F.lit(1.0)) * (1 << 32)
+    below = sizes.select("quality", share.cast("long").alias("below"))
+    return known.join(F.broadcast(below), "quality").filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.col("below")).select("doc_id", "quality")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Discriminant:
+    """From (doc_id, text) and (doc_id, quality). The labels are bounded and so broadcast; texts stay where they are read."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = known.join(F.broadcast(marked(labels, per_class)), "doc_id").select("quality", "text").mapInArrow(_statistics, "quality int, x array<double>")
+    sums = rows.mapInArrow(_moments, "quality int, m array<double>")
     d = len(FEATURES)
     added = sums.groupBy("quality").agg(*(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(1 + d + d * d))).collect()
-    return Discriminant({r[0]: np.array(r[1:], float) for r in added if r[1] >= LEAST})
+    return Discriminant({r[0]: np.array(r[1:], float) for r in added})
 
 
 def held_out(doc_id) -> "F.Column":
@@ -147,40 +166,32 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(common.unsigned_crc32(doc_id) % 3 == 1, F.lit(False))
 
 
-def _score(batches, model: Discriminant):
-    for batch in batches:
-        scores = model.scores(batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)))
-        names = [c for c in batch.schema.names if c != "x"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
-
-
-def features_of(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_statistics, "doc_id long, held_out boolean, x array<double>")
+def _score(batches, model: Discriminant, threshold: float):
+    for part in common.chunks(batches):
+        scores = model.scores(statistics(*common.utf8(part.column("text"))))
+        names = [c for c in part.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs, by a model of the labelled rows that aren't held out."""
     common.ship(docs.sparkSession)
-    scratch = common.Scratch(docs.sparkSession, "quality")
-    rows = scratch.save(features_of(docs), "features")
-    model = fit(rows, labels)
-    return rows.mapInArrow(lambda b: _score(b, model), "doc_id long, held_out boolean, score double, predicted int")
+    model = fit(docs, labels, per_class)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda b: _score(b, model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _keep(batches, model: Discriminant):
+def _keep(batches, model: Discriminant, threshold: float):
     for part in common.chunks(batches):
-        good = model.scores(statistics(*common.utf8(part.column("text")))) >= 0.5
+        good = model.scores(statistics(*common.utf8(part.column("text")))) >= threshold
         yield part.filter(pa.array(good))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, whole. Their texts are not moved: they are scored where they are read."""
     common.ship(docs.sparkSession)
-    scratch = common.Scratch(docs.sparkSession, "quality")
-    model = fit(scratch.save(features_of(docs), "features"), labels)
-    scratch.drop()
-    return docs.mapInArrow(lambda b: _keep(b, model), T.StructType(docs.schema.fields))
+    model = fit(docs, labels, per_class)
+    return docs.mapInArrow(lambda b: _keep(b, model, threshold), T.StructType(docs.schema.fields))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
