@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,34 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_gathering: list[list["Scratch"]] = []
+
+
+@contextmanager
+def gathered():
+    """Tables that operators make inside are dropped at the end, once what they return has been written elsewhere."""
+    held: list[Scratch] = []
+    _gathering.append(held)
+    try:
+        yield
+    finally:
+        _gathering.remove(held)
+        for scratch in held:
+            scratch.drop()
+            atexit.unregister(scratch._quietly_drop_all)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A lost executor costs no more than the tasks that read them. drop() removes one as soon as nothing
-    reads it; what a returned DataFrame still reads goes when the driver ends.
+    reads it; what a returned DataFrame still reads goes when the driver ends, or with `gathered`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/sievelog-{name}-{uuid.uuid4().hex[:12]}"
+        for held in _gathering:
+            held.append(self)
         atexit.register(self._quietly_drop_all)
 
     def path(self, name: str) -> str:
@@ -212,7 +232,10 @@ class WordIds(dict):
 
 class Codes:
     """The codes of words met so far, at most about `limit` words: beyond it those used once since the last time go, and
-    of the others the more used half of the limit stays."""
+    of the others the more used half of the limit stays. Words of over LONGEST bytes are never remembered, so that memory
+    is bounded by bytes too."""
+
+    LONGEST = 64
 
     def __init__(self, limit: int, kind: type):
         self.limit, self.numbers = limit, WordIds()
@@ -223,9 +246,21 @@ class Codes:
         if len(self.numbers) > self.limit:
             self._forget()
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if self.numbers.fresh:
-            ids, lengths = learn(self.numbers.fresh)
-            self.numbers.fresh.clear()
+        fresh, first_long = self.numbers.fresh, None
+        if fresh:
+            if max(map(len, fresh)) > self.LONGEST:  # long words last, so that they can be dropped
+                place = [i for i, w in enumerate(fresh) if len(w) <= self.LONGEST]
+                first_long, known = len(place), len(self.numbers) - len(fresh)
+                place += [i for i, w in enumerate(fresh) if len(w) > self.LONGEST]
+                moved = np.empty(len(fresh), np.int64)
+                moved[place] = np.arange(len(fresh))
+                new = numbers >= known
+                numbers[new] = known + moved[numbers[new] - known]
+                fresh = [fresh[i] for i in place]
+                for i, w in enumerate(fresh[:first_long]):
+                    self.numbers[w] = known + i
+            self.numbers.fresh = []
+            ids, lengths = learn(fresh)
             used = int(self.lengths.sum())
             need = used + len(ids)
             if need > len(self.ids):
@@ -236,13 +271,24 @@ class Codes:
             self.uses = np.concatenate([self.uses, np.zeros(len(lengths), np.int64)])
         self.uses += np.bincount(numbers, minlength=len(self.uses))
         lengths = self.lengths[numbers]
-        return self.ids[ragged(self.starts[numbers], lengths)], lengths
+        out = self.ids[ragged(self.starts[numbers], lengths)]
+        if first_long is not None:
+            for w in fresh[first_long:]:
+                del self.numbers[w]
+            n = len(self.numbers)
+            self.starts, self.lengths, self.uses = self.starts[:n].copy(), self.lengths[:n].copy(), self.uses[:n].copy()
+            used = int(self.lengths.sum())
+            if len(self.ids) > 2 * used + (1 << 20):
+                self.ids = np.concatenate([self.ids[:used], np.zeros(1 << 16, self.ids.dtype)])
+        return out, lengths
 
     def _forget(self) -> None:
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > self.limit // 2:
             kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.limit // 2]])
-        words = list(self.numbers)
+        words = [b""] * len(self.numbers)
+        for word, number in self.numbers.items():
+            words[number] = word
         self.numbers = WordIds()
         for i in kept.tolist():
             self.numbers[words[i]] = len(self.numbers)

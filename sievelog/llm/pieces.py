@@ -12,9 +12,14 @@ A task numbers its distinct segments; those not met before are encoded together:
 4. They are relaxed as the model does: in every round each segment takes its best edge (highest score, then leftmost)
    that joins two adjacent symbols, until none is left. What is no piece in the end falls back to its bytes.
 
-The model file's own normalisation is the identity but for the mark in front of a text and marks for spaces. Null
-text gives null ids; the empty text has none. Very long texts are encoded whole. Rows are judged one by one, so
-repeated ids or rows need no care; empty tables give no rows; other columns pass through.
+A segment of over WHOLE characters is cut where no piece leads across, window by window, so that memory follows the
+longest stretch that pieces tie together; what is left of one is relaxed whole, which is exact at any length.
+
+The model file's own normalisation must be the identity but for the mark in front of a text and marks for spaces, and
+its encoding that of byte-pair merges: a model is asked about a probe, and refused if it does anything else. Null text
+gives null ids; the empty text has none. Very long texts are encoded whole. Edges of equal score are taken from the
+left. Rows are judged one by one, so repeated ids or rows need no care; empty tables give no rows; other columns pass
+through, but a column named like the one that is added is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,14 @@ from . import common
 MARK = "\u2581"
 #: Segments whose ids a Python worker remembers, over tasks.
 MEMORY = 250_000
-#: Segments encoded together; bounds the table of edges.
-TOGETHER = 40_000
+#: Characters encoded together; bounds the table of edges.
+TOGETHER = 1 << 19
+#: Characters of a segment from which on it is cut into windows of as many.
+WHOLE = 1 << 18
 #: Characters of a segment from which on it is relaxed by a heap.
 LONG = 64
+#: What a model is asked about before it is used: capitals, spaces, accents, a ligature, full-width and rare characters.
+PROBE = "The  quick brown\tfoxes' unbelievable ﬁnery: été ＡＢ 42.50 \U0001f9a9 "
 _SEGMENT = re.compile(rb" *[^ \t\n\x0b\x0c]+|[\t\n\x0b\x0c]| +")
 
 
@@ -66,10 +76,17 @@ class Model:
             self.characters[row, : len(pieces[i])] = np.frombuffer(pieces[i].encode("utf-32-le"), np.uint32)
         scores = np.array([sp.get_score(i) for i in range(len(pieces))])
         self.rank = np.unique(scores, return_inverse=True)[1].astype(np.int64)
+        self.falling = (self.rank.max() - self.rank).tolist()
         raw = [b"" if special[i] else bytes([int(pieces[i][1:-1], 16)]) if is_byte[i] else pieces[i].replace(MARK, " ").encode() for i in range(len(pieces))]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_lengths = np.array(list(map(len, raw)), np.int64)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
+        probe = PROBE
+        if sp.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("this model normalises texts")
+        segments = [s.decode().replace(" ", MARK) for s in _SEGMENT.findall(b" " + probe.encode())]
+        if encode_segments(segments, self)[0].tolist() != sp.encode(probe):
+            raise ValueError("this model does not encode by byte-pair merges")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -125,34 +142,81 @@ def occurrences(text: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tu
 
 def _relax(start: int, stop: int, edge: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of one segment, begins and ends: the best edge first, from a heap; an edge that no longer joins two neighbours is passed over."""
-    n = stop - start
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = [True] * n
-    table, rank, depth = edge[start:stop].tolist(), model.rank.tolist(), model.depth
-    heap: list[tuple[int, int, int]] = []
+    n, depth, width = stop - start, model.depth, edge.shape[1]
+    end, before, alive = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), bytearray(b"\1") * n
+    table, rank = memoryview(edge[start:stop]).cast("B").cast("i"), model.falling
+    heap: list[int] = []  # rank, place and length of an edge in one number
 
     def offer(a: int) -> None:
         """The edge that joins the symbol at a and the one behind it."""
         b = end[a]
-        if b < n and end[b] - a <= depth and (piece := table[a][end[b] - a]) >= 0:
-            heapq.heappush(heap, (-rank[piece], a, end[b]))
+        if b < n and end[b] - a <= depth and (piece := table[a * width + end[b] - a]) >= 0:
+            heapq.heappush(heap, (rank[piece] << 40 | a) << 8 | end[b] - a)
 
     for a in range(n):
         offer(a)
     while heap:
-        _, a, stop_at = heapq.heappop(heap)
-        b = end[a]
+        key = heapq.heappop(heap)
+        a = key >> 8 & (1 << 40) - 1
+        stop_at, b = a + (key & 255), end[a]
         if not alive[a] or b >= n or end[b] != stop_at:
             continue
-        alive[b] = False
+        alive[b] = 0
         end[a] = stop_at
         if stop_at < n:
             before[stop_at] = a
         offer(a)
         if before[a] >= 0:
             offer(before[a])
-    begins = np.flatnonzero(np.array(alive))
-    return begins + start, np.array(end)[begins] + start
+    begins = np.flatnonzero(np.frombuffer(alive, np.uint8))
+    return begins + start, np.frombuffer(end, np.int64)[begins] + start
+
+
+def _edges(text: np.ndarray, model: Model) -> np.ndarray:
+    """For every place and length the piece that stands there, or -1. Long texts are indexed in windows that overlap by a piece."""
+    edge = np.full((len(text), model.depth + 1), -1, np.int32)
+    for at in range(0, len(text), WHOLE):
+        part = text[at : at + WHOLE + model.depth]
+        row, place = occurrences(part, model.characters, model.lengths)
+        edge[at + place, model.lengths[row]] = model.ids[row]
+    return edge
+
+
+def _ids(text: np.ndarray, edge: np.ndarray, begin: np.ndarray, end: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of symbols in their order, and the number of each one's: what is no piece falls back to its bytes."""
+    ids = edge[begin, end - begin]
+    known = ids >= 0
+    counts = np.ones(len(ids), np.int64)
+    raw = [chr(c).encode() for c in text[begin[~known]].tolist()]
+    counts[~known] = list(map(len, raw))
+    out = np.repeat(ids, counts)
+    out[np.repeat(~known, counts)] = model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+    return out.astype(np.int32), counts
+
+
+def encode_long(segment: str, model: Model, window: int = 0) -> np.ndarray:
+    """Ids of one segment, read in windows: what lies before the last place that no piece crosses is done with."""
+    window = window or WHOLE
+    out, left, at = [], np.zeros(0, np.uint32), 0
+    while at < len(segment) or len(left):
+        # Where nothing can be cut the window grows with what is left, so that no character is indexed more than a few times.
+        step = max(window, len(left))
+        left = np.concatenate([left, np.frombuffer(segment[at : at + step].encode("utf-32-le"), np.uint32)])
+        at += step
+        edge = _edges(left, model)
+        cut = len(left)
+        if at < len(segment):
+            place, size = np.nonzero(edge[:, 2:] >= 0)
+            crossed = np.zeros(len(left) + 1, np.int64)
+            np.add.at(crossed, place + 1, 1)
+            np.add.at(crossed, place + size + 2, -1)
+            free = np.flatnonzero(np.cumsum(crossed)[: max(0, len(left) - model.depth + 1)] == 0)
+            cut = int(free[-1]) if len(free) else 0
+        if cut:
+            begin, end = _relax(0, cut, edge, model)
+            out.append(_ids(left, edge, begin, end, model)[0])
+            left = left[cut:].copy()
+    return np.concatenate([np.zeros(0, np.int32), *out])
 
 
 def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +225,7 @@ def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.n
     text = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     starts = np.cumsum(sizes + 1) - sizes - 1
-    row, place = occurrences(text, model.characters, model.lengths)
-    edge = np.full((len(text), model.depth + 1), -1, np.int32)
-    edge[place, model.lengths[row]] = model.ids[row]
+    edge = _edges(text, model)
     # Symbols: where they begin and end, and the segment they are in. At first each character is one.
     # Long segments are relaxed one by one, by a heap; the others side by side, a round at a time.
     done: list[tuple] = []
@@ -198,15 +260,28 @@ def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.n
     begin, end, owner = (np.concatenate(x) for x in zip(*done))
     order = np.argsort(begin, kind="stable")
     begin, end, owner = begin[order], end[order], owner[order]
-    ids = edge[begin, end - begin]
-    known = ids >= 0
-    counts = np.ones(len(ids), np.int64)
-    fallen = text[begin[~known]]
-    raw = [chr(c).encode() for c in fallen.tolist()]
-    counts[~known] = [len(r) for r in raw]
-    out = np.repeat(ids, counts)
-    out[np.repeat(~known, counts)] = model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-    return out.astype(np.int32), np.bincount(owner, weights=counts, minlength=len(segments)).astype(np.int64)
+    ids, counts = _ids(text, edge, begin, end, model)
+    return ids, np.bincount(owner, weights=counts, minlength=len(segments)).astype(np.int64)
+
+
+def encode_all(segments: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of segments of any length, in bounded groups."""
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    out, at = [], 0
+    total = np.cumsum(sizes)
+    while at < len(segments):
+        if sizes[at] > WHOLE:
+            ids = encode_long(segments[at], model)
+            out.append((ids, np.array([len(ids)])))
+            at += 1
+            continue
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER, side="right")))
+        over = np.flatnonzero(sizes[at:stop] > WHOLE)
+        stop = at + int(over[0]) if len(over) else stop
+        out.append(encode_segments(segments[at:stop], model))
+        at = stop
+    ids, counts = (np.concatenate(x) for x in zip((np.zeros(0, np.int32), np.zeros(0, np.int64)), *out))
+    return ids, counts
 
 
 class Encoder:
@@ -218,8 +293,7 @@ class Encoder:
         fresh = [s.decode().replace(" ", MARK) for s in fresh]
         # The separator is no character of a segment: a text's NUL is a segment of its own and falls back to its byte.
         plain = [s if "\0" not in s else "" for s in fresh]
-        coded = [encode_segments(plain[i : i + TOGETHER], self.model) for i in range(0, len(plain), TOGETHER)]
-        ids, counts = (np.concatenate(x) for x in zip(*coded))
+        ids, counts = encode_all(plain, self.model)
         if plain == fresh:
             return ids, counts
         parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -227,7 +301,7 @@ class Encoder:
             if "\0" in s:
                 pieces = []
                 for j, sub in enumerate(s.split("\0")):
-                    pieces += [np.array([self.model.byte_ids[0]], np.int32)] * (j > 0) + ([encode_segments([sub], self.model)[0]] if sub else [])
+                    pieces += [np.array([self.model.byte_ids[0]], np.int32)] * (j > 0) + ([encode_all([sub], self.model)[0]] if sub else [])
                 parts[i] = np.concatenate(pieces)
         return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
 
@@ -265,7 +339,8 @@ def _encode(batches, file: str, text: str):
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
         if column.null_count:
             lists = pc.if_else(pc.is_valid(column), lists, pa.scalar(None, lists.type))
-        yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+        names = [n for n in part.schema.names if n != "ids"]
+        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists], [*names, "ids"])
 
 
 def _decode(batches, file: str):
@@ -275,19 +350,24 @@ def _decode(batches, file: str):
         flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
         texts = pa.array(encoder(file).decode(flat, counts), pa.string())
         texts = pc.if_else(pc.is_valid(ids), texts, pa.scalar(None, pa.string()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+        names = [n for n in batch.schema.names if n != "decoded"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), texts], [*names, "decoded"])
+
+
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind)])
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """docs with `ids array<int>`."""
+    """docs with `ids array<int>`, in the place of a column of that name if there is one."""
     common.ship(docs.sparkSession)
-    return docs.mapInArrow(lambda b: _encode(b, model_file, text), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lambda b: _encode(b, model_file, text), _with(docs.schema, "ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
-    """rows, which have `ids array<int>`, with `decoded string`."""
+    """rows, which have `ids array<int>`, with `decoded string`, in the place of a column of that name if there is one."""
     common.ship(rows.sparkSession)
-    return rows.mapInArrow(lambda b: _decode(b, model_file), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(lambda b: _decode(b, model_file), _with(rows.schema, "decoded", T.StringType()))
 
 
 def _digest(batches, file: str):

@@ -14,12 +14,14 @@ A word's high four bits select (count, bits) of SELECTORS and the rest holds `co
 lowest. Selector 0 is the escape: the next word is one raw 64-bit value, for values of over 60 bits. Every block
 begins at a word of its own, so blocks decode apart from each other, and all words of a pack decode at once.
 
-Null text is empty: such a document holds the end id alone. Rows that share a doc_id are all kept, ordered by their
-ids; a null doc_id comes first. An empty table gives an empty file set. Other columns are ignored.
+Null and empty texts hold the end id alone. A very long text is encoded whole and makes a pack by itself. Rows that share
+a doc_id are all kept, ordered by their texts; a null doc_id comes first. Equal rows give equal entries. An empty table
+gives an empty file set. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -151,11 +153,27 @@ def simplify(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.insert(data, cut, np.uint8(32)), offsets + np.searchsorted(cut, offsets, side="right")
 
 
+#: What a tokenizer file must say of its normaliser and its splitter for words to be encoded one by one.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_space(tokenizer_file: str) -> bool:
+    """Whether the file's normaliser and splitter are those that never look across white space and make capitals small."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        held = json.load(f)
+    normalizers = (held.get("normalizer") or {}).get("normalizers") or []
+    splitters = (held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    replace = next((n for n in normalizers if n.get("type") == "Replace"), {})
+    split = splitters[0]
+    return [n.get("type") for n in normalizers] == _NORMALIZERS and (replace["pattern"], replace["content"]) == ({"Regex": r"\s+"}, " ") and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": _SPLIT}, "Removed", True)
+
+
 class WordEncoder:
     """ids of whole texts through the tokenizers library, each distinct word encoded once.
 
-    The tokenizer's normaliser and splitter never look across ASCII white space, so a text's ids are those of its
-    words one after the other.
+    Where the file's normaliser and splitter never look across ASCII white space, a text's ids are those of its words
+    one after the other. With any other file (`splits_at_space`), whole texts are encoded.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -163,6 +181,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.whole = not splits_at_space(tokenizer_file)
+        if self.whole:
+            return
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         if len(mark) != 1:
             raise ValueError("this tokenizer has no token for the mark between words")
@@ -182,6 +203,11 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and the number of each row's."""
+        if self.whole:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array(list(map(len, found)), np.int64)
         data, offsets = simplify(data, offsets)
         raw = data.tobytes()
         words = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
