@@ -88,12 +88,60 @@ def test_no_python_in_the_plan(spark, tables):
     assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
 
 
+def taken_words(mixed, ids):
+    out = dict.fromkeys(ids, 0)
+    for r in mixed.filter(F.col("doc_id").isin(*ids)).collect():
+        out[r["doc_id"]] += len(r["text"].split())
+    return out
+
+
+@pytest.mark.parametrize("same_id", [True, False])
+def test_repeated_rows_are_taken_as_often_as_the_mix_takes_them(spark, monkeypatch, same_id):
+    """Equal rows, and rows without an id of one size: the curriculum has the words of the mix, neither more nor less."""
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(1 if same_id else None, " ".join(["w"] * 5 if same_id else [f"w{i}"] * 5), "a", "x") for i in range(300)]
+    rows += [(1, "w w w w w", "a", "y")] * 3 + [(10 + i, "v " * 40, "b", None) for i in range(5)] + [(None, "u", "c", "z")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_position string")
+    got, want = {}, {}
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+    mixed = mixing.curriculum(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "mix_position"]
+    placed = mixed.collect()
+    for r in placed:
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert got == want and want["a"] not in (0, 1500)
+    assert [r["mix_position"] for r in placed] == sorted(r["mix_position"] for r in placed)
+    assert len({(r["source"], r["mix_position"]) for r in placed}) == len(placed)  # no two copies lie on each other
+
+
+def test_first_positions_of_equal_rows(spark):
+    """Row by row, as SQL numbers them."""
+    rows = [(i % 3, "w " * (1 + i % 4), "ab"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    want = con.sql(f"SELECT doc_id, size, taken, first_position FROM ({mixing.ORACLE})").fetchall()
+    got = sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "taken", "first_position").collect()), key=str)
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want, key=str)]
+    assert sorted(r[3] or -1 for r in got) == pytest.approx(sorted(r[3] or -1 for r in want))
+
+
+def test_own_weights_and_schedules(spark):
+    docs = make(spark)
+    by = {r["source"]: r for r in mixing.mix(docs, weights=(1,), max_repeats=2, schedules={1: (1.0, 3.0)}).collect()}
+    assert {r["weight"] for r in by.values()} == {1} and all(r["target"] <= 2 * r["source_size"] for r in by.values())
+    assert mixing.curriculum(docs, (1,), 2, {1: (1.0, 3.0)}).agg(F.avg("mix_position")).head()[0] > 0.5
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert all(r["taken"] == 0 for r in rows if r["size"] == 0) and {r["size"] for r in rows if r["doc_id"] in (0, 1, 2)} == {0}
     assert mixing.mix(no_docs).count() == 0
     mixed = mixing.curriculum(odd_docs)
+    assert {r["doc_id"]: r["taken"] for r in rows if r["doc_id"] in (90, 91)} == taken_words(mixed, (90, 91))
     assert mixed.columns == [*odd_docs.columns, "mix_position"] and mixed.count() > 0 and mixing.curriculum(no_docs).count() == 0
     empty = odd_docs.withColumn("text", F.lit(None).cast("string"))
     assert {r["taken"] for r in mixing.mix(empty).collect()} == {0}
