@@ -5,20 +5,26 @@ Words are runs of `[^\\x20\\x09-\\x0D]+`, compared through 64-bit hashes. The wo
 1. Routing. The key of a window is the least hash of the GRAM-word grams in it (winnowing), so equal windows have equal
    keys wherever they stand. Consecutive windows of one key form a *cell*: a key, a place and the words from the first
    window's start to the last one's end. Keys found in one document only are dropped; nothing of them can be shared.
-2. Equal cells. Cells with the same key and words are one variant, which belongs to the smallest doc_id that has it.
-   Every other document's copy is covered as a whole by windows that start in that document.
-3. Reference shards. Where a key has several variants, their owners may share windows in part. Variants are dealt to
-   shards by key; a shard is bounded and holds a suffix automaton of the words of its variants. Shards are streamed
-   in ascending doc_id: a document's variants run through the automaton of all smaller documents for their matching
-   statistics, spans of 50 words or more are removed, and then the variants join the automaton.
+2. Variants. Cells with the same key and words are one variant, which belongs to the smallest doc_id that has it and
+   is held once, however many cells there are.
+3. Reference shards. Variants are dealt to shards by key; a shard is bounded and holds a suffix automaton of the words
+   of its variants. Documents are streamed through it in ascending doc_id for their matching statistics: a variant
+   runs through the automaton of all smaller documents, then joins it, and if larger documents have it as well it runs
+   through once more as one of theirs. Spans of 50 words or more are what is removed, of every cell of the variant.
+   No word is removed that an automaton didn't find. With `once` off, every cell is streamed for itself.
 4. Crowded keys. A key with over MAX_VARIANTS variants (a passage that thousands of documents embed in different
-   text) would make an unbounded shard. Its variants are cut again by the least hash of longer grams (GRAMS), which
-   sets the passage itself, one variant by then, apart from what surrounds it, and steps 2 to 4 repeat on the finer
-   cells. The last gram is a whole window, whose cells have one variant each, so nothing is left over.
+   text) would make an unbounded shard. Its variants are dealt to shards one by one, which settles what larger
+   documents have of each, and cut again by the least hash of longer grams (GRAMS), which sets the passage itself, one
+   variant by then, apart from what surrounds it; steps 2 to 4 repeat on the finer cells. The last gram is a whole
+   window, whose cells have one variant each, so nothing is left over.
+
+What documents share has no bound, so shards are not broadcast: their documents are routed to them by key.
 
 Windows are judged on the input. Null text has no words; empty and short texts lose nothing. A null doc_id counts as
-larger than all. Rows that share a doc_id do not remove each other's words; each is judged on its own text. Empty
-tables give empty results. Other columns pass through `dedup_substrings`.
+larger than all. Rows that share a doc_id, or have none, do not remove each other's words; each is judged on its own
+text, told apart by 64 bits of it, and equal rows get equal results. Windows that tie in a key are cells of it each. Very
+long texts are read whole. Empty tables give empty results. Other columns are ignored by `dedup_substrings` and pass
+through `remove_substrings`, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,55 +170,84 @@ def _cells(batches):
 
 def _cut(batches):
     """The words of the cells asked for, as hashes."""
-    schema = pa.schema([("key", pa.int64()), ("crowded", pa.bool_()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
     for part in common.chunks(batches):
         words, first, *_ = _hashed(part)
         rows: dict[str, list] = {name: [] for name in schema.names}
         for i, (doc, tag, wanted) in enumerate(zip(part.column("doc").to_pylist(), part.column("tag").to_pylist(), part.column("wanted").to_pylist())):
             for w in wanted:
                 begin = first[i] + w["at"]
-                for name, value in (("key", w["key"]), ("crowded", w["crowded"]), ("doc", doc), ("tag", tag), ("at", w["at"]), ("words", words[begin : begin + w["count"] + WINDOW - 1].tobytes())):
+                for name, value in (("key", w["key"]), ("same", w["same"]), ("doc", doc), ("tag", tag), ("at", w["at"]), ("words", words[begin : begin + w["count"] + WINDOW - 1].tobytes())):
                     rows[name].append(value)
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
 
-def shard_spans(rows: list[tuple[int, int, int, bytes]]):
-    """(doc, tag, at, words) of a shard to (doc, tag, begin, end) of the spans that smaller documents of the shard have."""
-    rows = sorted(rows, key=lambda r: r[:3])
+def shard_spans(rows: list[tuple]):
+    """(doc, key, same, copied, words) of a shard's variants to (key, same, copy, begin, end): what smaller documents of
+    the shard have of a variant, for its own document and, if it is copied, for larger ones that have it too."""
     automaton, waiting, now = Automaton(), [], None
-    for doc, tag, at, raw in rows:
+
+    def join():
+        for key, same, copied, seq in waiting:
+            automaton.add(seq)
+        for key, same, copied, seq in waiting:
+            if copied:
+                for a, b in automaton.spans(seq, WINDOW):
+                    yield key, same, True, a, b
+
+    for doc, key, same, copied, raw in sorted(rows):
         if doc != now:
-            for seq in waiting:
-                automaton.add(seq)
+            yield from join()
             waiting, now = [], doc
         seq = np.frombuffer(raw, np.uint64).tolist()
         for a, b in automaton.spans(seq, WINDOW):
-            yield doc, tag, at + a, at + b
-        waiting.append(seq)
+            yield key, same, False, a, b
+        waiting.append((key, same, copied, seq))
+    yield from join()
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())])
-_SPANS_DDL = "doc long, tag int, begin int, end int"
+_SPANS = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("copy", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32())])
+_SPANS_DDL = "key long, same long, copy boolean, begin int, end int"
 
 
 def _shards(batches):
-    """A task's rows, key by key in bounded shards."""
+    """A task's rows, group by group in bounded shards."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    rows = pa.Table.from_batches(held).sort_by("key")
-    keys = rows.column("key").to_numpy()
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    rows = pa.Table.from_batches(held).sort_by("group")
+    groups = rows.column("group").to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
     at = 0
     while at < len(edges) - 1:
         end = max(at + 1, int(np.searchsorted(edges, edges[at] + SHARD, side="right")) - 1)
         part = rows.slice(edges[at], edges[end] - edges[at])
-        found = list(shard_spans(list(zip(*(part.column(c).to_pylist() for c in ("doc", "tag", "at", "words"))))))
+        found = list(shard_spans(list(zip(*(part.column(c).to_pylist() for c in ("doc", "key", "same", "copied", "words"))))))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), _SPANS.types)], schema=_SPANS)
         at = end
 
 
+def _streamed(batches):
+    """The same with every cell for itself: (key, doc, tag, at, words) to (doc, tag, begin, end), one automaton a key."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).to_pylist()
+    rows.sort(key=lambda r: (r["key"], r["doc"]))
+    out, automaton, waiting, now = [], Automaton(), [], (None, None)
+    for r in rows:
+        if (r["key"], r["doc"]) != now:
+            automaton = Automaton() if r["key"] != now[0] else automaton
+            for seq in waiting if r["key"] == now[0] else ():
+                automaton.add(seq)
+            waiting, now = [], (r["key"], r["doc"])
+        seq = np.frombuffer(r["words"], np.uint64).tolist()
+        out += [{"doc": r["doc"], "tag": r["tag"], "begin": r["at"] + a, "end": r["at"] + b} for a, b in automaton.spans(seq, WINDOW)]
+        waiting.append(seq)
+    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())]))
+
+
 def _finer(batches, gram: int):
     """The cells of variants by longer grams, each with its words."""
     for batch in batches:
@@ -230,43 +265,69 @@ def _finer(batches, gram: int):
             )
 
 
-def _judge(found: DataFrame, scratch: common.Scratch, level: int) -> DataFrame:
-    """The cells that matter: copies of another document's (`copy`), and owners of one of several variants of a key."""
+def _shared(found: DataFrame, scratch: common.Scratch, level: int) -> DataFrame:
+    """The cells of keys that several documents have."""
     found = scratch.save(found, f"cells{level}")
-    shared = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    found = scratch.save(found.join(scratch.apart(shared, f"keys{level}"), "key", "left_semi"), f"shared{level}")
-    scratch.drop(f"cells{level}")
-    variants = found.groupBy("key", "same").agg(F.min("doc").alias("owner"))
-    variants = scratch.save(variants, f"variants{level}")
-    counts = scratch.apart(variants.groupBy("key").agg(F.count("*").alias("variants")), f"counts{level}")
-    variants = scratch.apart(variants.join(counts, "key"), f"owners{level}")
-    judged = found.join(variants, ["key", "same"]).filter("doc > owner or variants > 1")
-    judged = judged.withColumns({"copy": F.expr("doc > owner"), "crowded": F.col("variants") > MAX_VARIANTS}).drop("same", "owner", "variants")
-    judged = scratch.save(judged, f"judged{level}")
-    scratch.drop(*(f"{name}{level}" for name in ("keys", "shared", "variants", "counts", "owners")))
-    return judged
-
-
-def spans(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(doc, tag, begin, end): words of rows that smaller documents' windows cover; docs: (doc, tag, text)."""
+    keys = found.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
+    found = scratch.save(found.join(scratch.apart(keys, f"keys{level}"), "key", "left_semi"), f"shared{level}")
+    scratch.drop(f"cells{level}", f"keys{level}")
+    return found
+
+
+def _words_of(docs: DataFrame, cells: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """(key, same, doc, tag, at, words) of cells of docs. Rows that share doc and tag have the same words, and give them once."""
+    wanted = cells.groupBy("doc", "tag").agg(F.collect_set(F.struct("key", "same", "at", "count")).alias("wanted"))
+    held = docs.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
+    cut = scratch.save(held.mapInArrow(_cut, "key long, same long, doc long, tag long, at int, words binary"), name)
+    repeated = cut.groupBy("key", "same", "doc", "tag", "at").count().filter("count > 1").head(1)
+    return cut.dropDuplicates(["key", "same", "doc", "tag", "at"]) if repeated else cut
+
+
+def spans(docs: DataFrame, scratch: common.Scratch, once: bool = True) -> DataFrame:
+    """(doc, tag, begin, end): words of rows that smaller documents' windows cover; docs: (doc, tag, text).
+
+    `once`: cells of the same words are settled by one run through an automaton. Off, each runs for itself, which gives
+    the same spans and takes a shard for all cells of a key: for tests.
+    """
+    found = docs.mapInArrow(_cells, "key long, same long, doc long, tag long, at int, count int")
+    if not once:
+        every = _words_of(docs, _shared(found, scratch, 0), scratch, "cut0")
+        return every.repartition(common.spread(docs), "key").mapInArrow(_streamed, "doc long, tag long, begin int, end int")
     out = None
-    found = docs.mapInArrow(_cells, "key long, same long, doc long, tag int, at int, count int")
     for level, gram in enumerate(GRAMS):
         if level:
-            found = crowded.mapInArrow(lambda b, gram=gram: _finer(b, gram), "key long, same long, doc long, tag int, at int, count int, words binary")
-        judged = _judge(found, scratch, level)
-        copies = judged.filter("copy").select("doc", "tag", F.col("at").alias("begin"), (F.col("at") + F.col("count") + WINDOW - 1).alias("end"))
-        owners = judged.filter("not copy").drop("copy")
-        if not level:  # the first cells come without their words
-            wanted = owners.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "crowded", "at", "count")).alias("wanted"))
-            owners = docs.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
-            owners = scratch.save(owners.mapInArrow(_cut, "key long, crowded boolean, doc long, tag int, at int, words binary"), "cut")
-        few, crowded = owners.filter("not crowded"), owners.filter("crowded")
-        shards = max(common.spread(docs), -(-few.count() // 20_000))
-        partial = few.select("key", "doc", "tag", "at", "words").repartition(shards, "key").mapInArrow(_shards, _SPANS_DDL)
-        here = scratch.save(copies.unionByName(partial), f"spans{level}")
+            found = crowded.mapInArrow(lambda b, gram=gram: _finer(b, gram), "key long, same long, doc long, tag long, at int, count int, words binary")
+        found = _shared(found, scratch, level)
+        owner = F.min(F.struct("doc", "tag", "at", "count")).alias("first")
+        variants = found.groupBy("key", "same").agg(owner, (F.max("doc") > F.min("doc")).alias("copied"))
+        variants = scratch.apart(variants.select("key", "same", "copied", *(F.col(f"first.{c}").alias(c) for c in ("doc", "tag", "at", "count"))), f"variants{level}")
+        counts = scratch.apart(variants.groupBy("key").agg(F.count("*").alias("variants")).filter(F.col("variants") > MAX_VARIANTS).select("key"), f"counts{level}")
+        if level:  # finer cells bring their words along
+            held = found.select("key", "same", "doc", "tag", "at", "words").join(variants.select("key", "same", "doc", "tag", "at", "copied"), ["key", "same", "doc", "tag", "at"])
+            held = held.dropDuplicates(["key", "same"])
+        else:
+            held = _words_of(docs, variants, scratch, "cut0").join(variants.select("key", "same", "copied"), ["key", "same"])
+        split = counts.head(1) is not None
+        group = F.col("key")
+        if split:
+            held = held.join(counts.withColumn("crowded", F.lit(True)), "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+            held = scratch.save(held, f"held{level}")
+            # Wherever its owner has a crowded variant, it is cut finer.
+            own = scratch.apart(held.filter("crowded").select("key", "same", F.col("doc").alias("owner"), "words"), f"own{level}")
+            crowded = scratch.save(found.select("key", "same", "doc", "tag", "at").join(own, ["key", "same"]).filter("doc = owner").select("doc", "tag", "at", "words"), f"crowded{level}")
+            group = F.when(F.col("crowded"), F.xxhash64("key", "same")).otherwise(F.col("key"))
+            # Of a crowded variant that nobody else has in whole, nothing can be settled here.
+            held = held.filter("copied or not crowded")
+        shards = max(common.spread(docs), -(-variants.count() // 20_000))
+        held = held.select(group.alias("group"), "doc", "key", "same", "copied", "words").repartition(shards, "group")
+        settled = scratch.save(held.mapInArrow(_shards, _SPANS_DDL), f"settled{level}")
+        # What a shard found of a variant holds for all its cells: for its owner's own, and for those of larger documents.
+        owners = scratch.apart(settled.join(variants.select("key", "same", F.col("doc").alias("owner")), ["key", "same"]), f"owners{level}")
+        here = found.select("key", "same", "doc", "tag", "at").join(owners, ["key", "same"]).filter((F.col("doc") > F.col("owner")) == F.col("copy"))
+        here = scratch.save(here.select("doc", "tag", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end")), f"spans{level}")
+        scratch.drop(f"shared{level}", f"variants{level}", f"counts{level}", f"settled{level}", f"owners{level}", "cut0")
         out = here if out is None else out.unionByName(here)
-        if not crowded.head(1):
+        if not split:
             break
     return out
 
@@ -297,19 +358,22 @@ def _apply(batches, digest: bool):
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """docs with doc and tag, by which rows are told apart: the id, and some bits of the text."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.hash(F.xxhash64(text))})
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tag": F.xxhash64(text)})
+
+
+def _removed(docs: DataFrame, once: bool = True) -> DataFrame:
+    """(doc, tag, removed) of the rows of docs (doc_id, text) that lose words: spans, each once."""
+    scratch = common.Scratch(docs.sparkSession, "substrings")
+    found = spans(_keyed(docs, "text").select("doc", "tag", "text"), scratch, once)
+    return found.groupBy("doc", "tag").agg(F.collect_set(F.struct("begin", "end")).alias("removed"))
 
 
-def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, digest: bool = False, once: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words left, joined by a space, or with `digest` their SHA-256."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    scratch = common.Scratch(spark, "substrings")
-    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text")
-    found = spans(rows.select("doc", "tag", "text"), scratch)
-    scratch.drop(*(f"judged{i}" for i in range(len(GRAMS))), "cut")
-    removed = found.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("removed"))
-    rows = rows.join(removed.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "removed")
+    common.ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    removed = _removed(rows, once)
+    rows = _keyed(rows, "text").join(removed.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc_id", "text", "removed")
     return rows.mapInArrow(lambda batches: _apply(batches, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -333,13 +397,10 @@ def _shorten(batches):
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with the texts (and n_chars, if there) that are left. A text that loses all its words becomes empty."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    scratch = common.Scratch(spark, "substrings")
-    found = spans(_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text").select("doc", "tag", "text"), scratch)
-    scratch.drop(*(f"judged{i}" for i in range(len(GRAMS))), "cut")
-    removed = found.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("begin", "end")).alias("__removed"))
-    own = docs.withColumns({"__doc2": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__tag2": F.hash(F.xxhash64("text"))})
+    common.ship(docs.sparkSession)
+    found = _removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    removed = found.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed"))
+    own = docs.withColumns({"__doc2": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__tag2": F.xxhash64(F.col("text").cast("string"))})
     rows = own.join(removed.hint("shuffle_hash"), (F.col("__doc") == F.col("__doc2")) & (F.col("__tag") == F.col("__tag2")), "left").select(*docs.columns, "__removed")
     return rows.mapInArrow(_shorten, docs.schema)
 

@@ -59,6 +59,30 @@ def test_against_windows(spark, monkeypatch, crowded):
     assert 0 < sum(r[2] for r in want) < sum(r[1] for r in want)
 
 
+def test_automata_alone_give_the_whole_result(spark, tables, monkeypatch):
+    """With every cell streamed for itself nothing changes; with automata that find nothing, nothing is removed."""
+    rows = corpus(random.Random(9), 150) + [(r["doc_id"] + 1000, r["text"]) for r in common.table(spark, tables, "documents").collect()]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
+    assert found(ss.dedup_substrings(docs, digest=True, once=False)) == want
+    empty = ss._SPANS.empty_table().to_batches()
+    monkeypatch.setattr(ss, "_shards", lambda batches: (x for b in batches for x in empty))
+    assert sum(r[2] for r in found(ss.dedup_substrings(docs, digest=True))) == 0
+
+
+def test_texts_whose_short_hashes_agree(spark):
+    """Two rows without an id whose 32-bit hashes are the same: each keeps its own words."""
+    texts = spark.range(400_000).selectExpr("concat('t', id, ' ', repeat('same words go here ', 15)) AS t").selectExpr("t", "hash(xxhash64(t)) AS h")
+    twins = texts.groupBy("h").agg({"t": "collect_list"}).toDF("h", "ts").filter("size(ts) = 2").head()["ts"]
+    plain = "one " + " ".join(f"w{i}" for i in range(60))
+    rows = [(1, twins[0]), (None, twins[0]), (None, twins[1] + ""), (None, plain), (2, "a " + plain[4:])]
+    assert found(ss.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), digest=True)) == brute(rows)
+
+
+def test_equal_rows_give_equal_results(spark):
+    rows = [(1, "x " * 60)] + [(5, "x " * 60 + " y" * 70)] * 40 + [(None, "y " * 55)] * 30
+    assert found(ss.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), digest=True)) == brute(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=40), max_size=6), st.lists(st.integers(0, 2), max_size=40), st.integers(1, 8))
 def test_matching_statistics(references, text, least):
