@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievelog.llm import common, vector_dedup as vd, vptree
@@ -135,6 +136,46 @@ def test_factor_trades_recall_for_visits():
     assert seen[1.5][0] >= 0.9 and seen[4.0][1] < seen[1.5][1] < seen[1.0][1]
 
 
+def test_relaxed_search_through_shards(spark, monkeypatch):
+    """nearest() itself at a factor above one, over several shards: fewer answers, recall of 0.9 or more; factor 1 finds all."""
+    monkeypatch.setattr(vptree, "SHARD", 1000)
+    rng = np.random.default_rng(4)
+    x = clustered(rng, 4000, 6, 0.15)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, 4000, 50)
+    near = u[asked] @ u.T
+    near[np.arange(len(asked)), asked] = -2
+    want = {(int(q), int(i)) for q, row in zip(asked, np.argsort(-near, axis=1, kind="stable")[:, :5]) for i in row}
+    recall = {}
+    for factor in (1.0, 1.5):
+        got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(rows.filter("vec_id % 50 = 0"), rows, 5, factor).collect()}
+        recall[factor] = len(got & want) / len(want)
+    assert recall[1.0] == 1.0 and recall[1.5] >= 0.9
+
+
+def test_a_bound_from_elsewhere_prunes_and_loses_nothing():
+    rng = np.random.default_rng(5)
+    x = clustered(rng, 6000, 6, 0.15)
+    ids, rows = np.arange(len(x)), np.arange(0, 6000, 50)
+    first, second = vptree.Tree(ids[::2], x[::2]), vptree.Tree(ids[1::2], x[1::2])
+    first.search(ids[rows], x[rows], 5)
+    least = first.best[:, -1].copy()
+    second.search(ids[rows], x[rows], 5)
+    free, every = second.visited, [tuple(f[s >= b]) for f, s, b in zip(second.found, second.best, least)]
+    second.search(ids[rows], x[rows], 5, least=least)
+    assert second.visited < 0.9 * free and [tuple(f[f >= 0]) for f in second.found] == every
+
+
+def test_trees_survive_being_written():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 5))
+    tree = vptree.Tree(np.arange(3000), x)
+    row = vptree._plant((pa.scalar(0), pa.scalar(5)), pa.table({"vec_id": pa.array(np.arange(3000)), "v": pa.array(list(x))})).to_pylist()[0]
+    one, two = tree.search(np.arange(50), x[:50], 4), vptree.grown(row).search(np.arange(50), x[:50], 4)
+    assert all(np.array_equal(a, b) for a, b in zip(one, two))
+
+
 def test_nearest_query(spark, tables):
     import duckdb
 
