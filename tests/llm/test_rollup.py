@@ -35,10 +35,11 @@ def read(r):
 SCHEMA = "doc_id long, text string, source string, lang string"
 
 
-def test_batches_of_changes(spark, tmp_path):
+@pytest.mark.parametrize("every", [8, 1, 2])
+def test_batches_of_changes(spark, tmp_path, every):
     """Inserts, revisions, deletes and repeated deliveries, against counting what is there."""
     rng, state = random.Random(1), {}
-    r = rollup.TokenRollup(spark, f"file://{tmp_path}/counts", VERSIONS)
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/counts", VERSIONS, buckets=3, snapshot_every=every)
     text = lambda: rng.choice([None, "", "one two", "The quick brown fox! " * rng.randrange(5), "É 中文"])
     for b in range(4):
         new = [(i, text(), rng.choice(["s1", "s2", None]), rng.choice(["en", None])) for i in rng.sample(range(30), 12)]
@@ -51,6 +52,7 @@ def test_batches_of_changes(spark, tmp_path):
         want = totals(state)
         assert read(r) == want
         assert not r.apply(f"b{b}", up, down) and read(r) == want
+    assert len(r._standing()) <= every + 1 and len(r._names("snapshots")) == {8: 0, 1: 3, 2: 1}[every]
     assert r.batches() == ["b0", "b1", "b2", "b3"]
     with pytest.raises(ValueError):
         r.apply("a/b", up)
@@ -58,6 +60,16 @@ def test_batches_of_changes(spark, tmp_path):
     assert read(again) == totals(state)
 
 
+def test_only_touched_buckets_are_read(spark, tmp_path):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/counts", {"words": ""}, buckets=8)
+    r.apply("all", spark.createDataFrame([(i, "a b", "s", "en") for i in range(100)], SCHEMA))
+    r.apply("one", spark.createDataFrame([(5, "a b c", "s", "en")], SCHEMA))
+    files = [f for f in r._ledger([int(n.rpartition("=")[2]) for n in (p.name for p in (tmp_path / "counts" / "batches" / "00000001-one" / "ledger").iterdir()) if n.startswith("bucket")]).inputFiles()]
+    assert len({f.rpartition("/")[0].rpartition("/")[2] for f in files}) == 1 and r.totals().head()["tokens"] == 201
+    assert r.snapshot() and r.totals().head()["tokens"] == 201 and r.apply("two", deletes=spark.createDataFrame([(5,), (999,)], "doc_id long"))
+    assert r.totals().select("docs", "tokens", "docs_removed").head()[:] == (99, 198, 2)
+
+
 def test_a_failed_batch_counts_nothing(spark, tmp_path, monkeypatch):
     r = rollup.TokenRollup(spark, f"file://{tmp_path}/counts", {"words": ""})
     rows = spark.createDataFrame([(1, "a b", "s", "en")], SCHEMA)
@@ -78,6 +90,9 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
 
 def test_queries(spark, tables):
     docs = {x["doc_id"]: (x["text"], x["source"], x["lang"]) for x in common.table(spark, tables, "documents").collect()}
+    for i in [i for i in docs if i % 7 == 0]:
+        text, source, lang = docs[i]
+        docs[i] = (None if text is None else text + "\nsecond edition", None if source is None else source + " (revised)", None if i % 14 == 0 else lang)
     for x in common.table(spark, tables, "labels").filter("toxic = 1").collect():
         docs.pop(x["doc_id"], None)
     got = {(x["source"], x["lang"], x["tokenizer"]): (x["docs"], x["tokens"]) for x in rollup.op9_token_rollup(spark, tables).collect() if x["docs"]}
