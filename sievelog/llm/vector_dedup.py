@@ -2,15 +2,18 @@
 
 Equal vectors are one class from the start, whatever their number; a class is represented by its smallest id. In each
 pass the classes are ordered by the concatenated signs of their products with random directions (BITS
-one-bit hashes to a 63-bit key; lexicographic order is numeric order). All passes are sorted at once, and the order is
-cut into blocks of WINDOW rows. Each block is compared with itself and with the one behind it, so a row meets at least
-its WINDOW next neighbours of each pass. Pairs are verified by their cosine, in double precision; a block gives back a
-spanning forest of its links. The links of all passes are united into components.
+one-bit hashes to a 63-bit key; lexicographic order is numeric order). All passes are sorted at once by one range sort,
+which carries the vectors, so a vector is moved once a pass. A task goes through its sorted rows in blocks of WINDOW and
+compares each block with itself and with the one behind it, so a row meets at least its WINDOW next neighbours of each
+pass; where two tasks' rows adjoin, their last and first WINDOW rows are written and compared after. Pairs are verified
+by their cosine, in double precision; a task gives back a spanning forest of its links. The links of all passes are
+united into components.
 
 The number of passes follows from the table (`passes_needed`): PROBES sampled vectors get partners at exactly the
 threshold, one in a random direction and one towards the nearest other probe, and how often a partner is within reach
 in TRIALS orders is counted over the rows in between (a sample of about SAMPLE rows, scaled). There are as many passes,
-at least PASSES, as the expected recall of all probes (RECALL) and of their poorest tenth (POOREST) takes.
+at least PASSES, as the expected recall of all probes (RECALL) and of their poorest tenth (POOREST) takes. With `exact`,
+there are no passes: every part of PART classes is compared with every other, which misses nothing and takes n²/2 pairs.
 
 Then links are counted exactly inside each component: its members are dealt to parts of at most about PART rows, and
 every pair of parts is compared by one task, which gives back counts and no pairs. So a group of any size is counted in
@@ -18,7 +21,8 @@ bounded pieces, and `n_links` misses a link only where the passes joined its end
 
 Vectors that are null, empty, zero or have null or non-finite components link with nothing: a component of their own.
 Vectors of different lengths never link. Rows that share a vec_id are one vector each and linked to the other if they
-are near. Rows without an id are left out. Empty tables give no rows; other columns are ignored.
+are near. Rows without an id are left out. Keys that tie are ordered by a hash of the class. Empty tables give no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,8 +66,9 @@ def _keys(batches, passes: int, bits: int):
                 signs = (normed(x[at : at + 2048]) @ made[dim] > 0).reshape(-1, passes, bits)
                 keys = signs.astype(np.int64) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
                 n = len(keys)
-                ids = part.column("id").to_numpy()[at : at + n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(passes, dtype=np.int32), n)), pa.array(np.full(n * passes, dim, np.int32)), pa.array(keys.ravel()), pa.array(np.repeat(ids, passes))], ["pass", "dim", "key", "id"])
+                some = part.slice(at, n)
+                for p in range(passes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(np.ascontiguousarray(keys[:, p])), some.column("id"), some.column("v")], ["pass", "dim", "key", "id", "v"])
 
 
 def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -76,18 +81,104 @@ def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _link(key, table: pa.Table, threshold: float) -> pa.Table:
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_MET = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("part", pa.int32()), ("head", pa.bool_()), ("place", pa.int32()), ("dim", pa.int32()), ("v", pa.list_(pa.float64()))])
+_MET_DDL = "u long, w long, part int, head boolean, place int, dim int, v array<double>"
+
+
+def _links(found: Forest, a: tuple, b: tuple, threshold: float) -> None:
+    """Add the links between two blocks of (dims, ids, vectors by row)."""
+    for dim in np.intersect1d(a[0], b[0]):
+        p, q = a[0] == dim, b[0] == dim
+        x, y = (np.array([v for v, own in zip(s[2], m) if own]).reshape(-1, dim) for s, m in ((a, p), (b, q)))
+        i, j = np.nonzero(near(x, y, threshold))
+        u, w = a[1][p][i], b[1][q][j]
+        found.add(u[u != w], w[u != w])
+
+
+def _blocks(batches, window: int):
+    """Sorted rows as (part, dims, ids, vectors) of `window` rows, the last of fewer."""
+    held, size = [], 0
+
+    def cut(table: pa.Table):
+        vectors = table.column("v").combine_chunks()
+        flat, edges = vectors.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())])
+        return table.column("part")[0].as_py(), table.column("dim").to_numpy(), table.column("id").to_numpy(), [flat[x:y] for x, y in zip(edges, edges[1:])]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= window:
+            table = pa.Table.from_batches(held)
+            full = size // window * window
+            for at in range(0, full, window):
+                yield cut(table.slice(at, window))
+            held, size = table.slice(full).to_batches(), size - full
+    if size:
+        yield cut(pa.Table.from_batches(held))
+
+
+def _edge_rows(part: int, head: bool, block: tuple) -> pa.RecordBatch:
+    dims, ids, vectors = block
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, head)), pa.array(np.arange(n, dtype=np.int32)), pa.array(dims), pa.array(vectors, pa.list_(pa.float64()))], schema=_MET)
+
+
+def _neighbours(batches, threshold: float, window: int):
+    """A forest (u, w) of the links in a task's sorted rows, and its first and last `window` rows for the tasks beside it."""
+    found, last, before, part = Forest(), None, None, 0
+    for part, *block in _blocks(batches, window):
+        if last is None:
+            yield _edge_rows(part, True, block)
+        else:
+            _links(found, last, block, threshold)
+        _links(found, block, block, threshold)
+        before, last = last, block
+    if last is None:
+        return
+    if before is not None:  # the last block may be short
+        last = [np.concatenate([x, y])[-window:] for x, y in zip(before[:2], last[:2])] + [(before[2] + last[2])[-window:]]
+    yield _edge_rows(part, False, last)
+    u, w = found.fold()
+    n = len(u)
+    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.zeros(n, bool)), *(pa.nulls(n, f.type) for f in list(_MET)[4:])], schema=_MET)
+
+
+def _border(key, table: pa.Table, threshold: float) -> pa.Table:
+    """Links between the last rows of one task and the first of the next."""
+    found = Forest()
+    sides = []
+    for head in (False, True):
+        rows = table.filter(pa.array(table.column("head").to_numpy(zero_copy_only=False) == head))
+        sides.append((rows.column("dim").to_numpy(), rows.column("u").to_numpy(), [np.array(v, float) for v in rows.column("v").to_pylist()]))
+    if len(sides[0][1]) and len(sides[1][1]):
+        _links(found, *sides, threshold)
+    u, v = found.fold()
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _pair(key, table: pa.Table, threshold: float) -> pa.Table:
+    """Links of the first part's rows to the second's."""
     found = Forest()
     for dim in np.unique(table.column("dim").to_numpy()):
         part = table.filter(pa.compute.equal(table.column("dim"), int(dim)))
-        ids, x, own = part.column("id").to_numpy(), matrix(part.column("v")), part.column("own").to_numpy()
-        if own.any():
-            i, j = np.nonzero(near(x[own], x, threshold))
-            a, b = ids[own][i], ids[j]
-            found.add(a[a != b], b[a != b])
+        first, second = part.column("first").to_numpy(), part.column("second").to_numpy()
+        ids, x = part.column("id").to_numpy(), matrix(part.column("v"))
+        if first.any() and second.any():
+            i, j = np.nonzero(near(x[first], x[second], threshold))
+            u, v = ids[first][i], ids[second][j]
+            found.add(u[u != v], v[u != v])
     u, v = found.fold()
-    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _to_pairs(rows: DataFrame, both: bool) -> DataFrame:
+    """rows (.., mine, parts), each sent to the pairs of parts it is in, as `a`, `b`, `first`, `second`. both: also (b, a) of (a, b)."""
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    mine = F.col("mine")
+    ahead = F.transform(others if both else F.filter(others, lambda p: p >= mine), lambda p: F.struct(mine.alias("a"), p.alias("b"), F.lit(True).alias("first"), (p == mine).alias("second")))
+    behind = F.transform(F.filter(others, lambda p: p != mine if both else p < mine), lambda p: F.struct(p.alias("a"), mine.alias("b"), F.lit(False).alias("first"), F.lit(True).alias("second")))
+    return rows.withColumn("to", F.explode(F.flatten(F.array(ahead, behind))))
 
 
 def _count(key, table: pa.Table, threshold: float) -> pa.Table:
@@ -191,42 +282,52 @@ def passes_needed(classes: DataFrame, threshold: float = THRESHOLD, window: int
         passes += 1
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row. passes: as many as the table needs, if not given."""
+def _by_passes(classes: DataFrame, total: int, scratch: common.Scratch, threshold: float, passes: int, window: int) -> DataFrame:
+    """(u, v): links that sorted projection passes over classes (id, v) find."""
+    keys = classes.select("id", "v").mapInArrow(lambda b: _keys(b, passes, BITS), "pass int, dim int, key long, id long, v array<double>")
+    parts = max(1, min(common.spread(keys), total * passes // (4 * window)))
+    ordered = keys.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
+    ordered = ordered.select("id", "dim", "v", F.spark_partition_id().alias("part"))
+    met = scratch.save(ordered.mapInArrow(lambda b: _neighbours(b, threshold, window), _MET_DDL), "met")
+    inside = met.filter("w is not null").select("u", F.col("w").alias("v"))
+    edge = met.filter("w is null").withColumn("border", F.col("part") - F.col("head").cast("int"))
+    across = edge.select("border", "head", "u", "dim", "v").groupBy("border").applyInArrow(lambda key, t: _border(key, t, threshold), "u long, v long")
+    return inside.unionByName(across)
+
+
+def _by_all(classes: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(u, v): all links, by comparing every part with every other."""
+    parts = max(1, -(-total // PART))
+    dealt = classes.select("id", "dim", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("mine"), F.lit(parts).alias("parts"))
+    sent = _to_pairs(dealt, False).select("to.*", "id", "dim", "v")
+    return sent.groupBy("a", "b").applyInArrow(lambda key, t: _pair(key, t, threshold), "u long, v long")
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row. passes: as many as the table needs, if not given; exact: all pairs instead."""
     spark = rows.sparkSession
     common.ship(spark)
     scratch = common.Scratch(spark, "vectors")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null")
     fit = scratch.save(rows.filter(usable(F.col("v"))), "fit")
     classes = scratch.save(fit.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).select(F.xxhash64("least", "v").alias("id"), "least", "n", F.size("v").alias("dim"), "v"), "classes")
-
-    passes = passes_needed(classes, threshold, window) if passes is None else passes
-    keys = classes.select("id", "v").mapInArrow(lambda b: _keys(b, passes, BITS), "pass int, dim int, key long, id long")
-    ordered = keys.repartitionByRange(common.spread(keys), "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
-    ordered = scratch.save(ordered.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("inside")), "ordered")
-    # One number a partition goes to the driver, and comes back as where each begins.
-    sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect())
-    begins, total = [], 0
-    for part, size in sizes:
-        begins.append((part, total))
-        total += size
-    begins = spark.createDataFrame(begins or [(0, 0)], "part int, begin long")
-    placed = ordered.join(F.broadcast(begins), "part").select("id", F.expr(f"(begin + inside) div {window}").alias("block"))
-    twice = placed.select("id", F.explode(F.array(F.struct("block", F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("own")))).alias("s")).select("id", "s.block", "s.own")
-    compared = twice.filter("block >= 0").join(classes.select("id", "dim", "v"), "id")
-    edges = compared.groupBy("block").applyInArrow(lambda key, t: _link(key, t, threshold), "u long, v long")
+    total = classes.count()
+    if exact:
+        edges = _by_all(classes, total, threshold)
+    else:
+        passes = passes_needed(classes, threshold, window) if passes is None else passes
+        edges = _by_passes(classes, total, scratch, threshold, passes, window)
     linked = scratch.save(components(edges, scratch), "linked")
-    scratch.drop("ordered")
+    scratch.drop("met")
 
     members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     members = scratch.save(members, "members")
     sizes = scratch.apart(members.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "sizes")
     grouped = scratch.save(classes.join(members.join(sizes, "root"), F.col("id") == F.col("node")).select("id", "n", "least", "dim", "v", "root", "parts"), "grouped")
     grouped = grouped.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    sent = grouped.withColumn("to", F.explode(F.flatten(F.array(F.transform(others, lambda p: F.struct(F.col("mine").alias("a"), p.alias("b"), F.lit(True).alias("first"), (p == F.col("mine")).alias("second"))), F.transform(F.filter(others, lambda p: p != F.col("mine")), lambda p: F.struct(p.alias("a"), F.col("mine").alias("b"), F.lit(False).alias("first"), F.lit(True).alias("second")))))))
+    sent = _to_pairs(grouped, True)
     # Small components share a task: a batch of them is compared as one, and only links inside a component count.
-    batch = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(max(1, total // max(1, passes) // PART)))).otherwise(F.col("root"))
+    batch = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(max(1, total // PART)))).otherwise(F.col("root"))
     sent = sent.select(batch.alias("batch"), (F.col("parts") > 1).alias("large"), "to.a", "to.b", "to.first", "to.second", "id", "n", "root", "dim", "v")
     counts = sent.groupBy("large", "batch", "a", "b").applyInArrow(lambda key, t: _count(key, t, threshold), "id long, links long")
     counts = counts.groupBy("id").agg(F.sum("links").alias("links"))

@@ -81,6 +81,51 @@ def test_dedup_recall_over_threshold(spark):
     assert (got.n_links.to_numpy() <= links).all() and got.n_links.sum() >= 0.97 * links.sum()
 
 
+def test_exact_setting_finds_all(spark, odd_vectors, monkeypatch):
+    """All pairs in parts, where a single narrow pass finds less."""
+    monkeypatch.setattr(vd, "PART", 16)
+    rows = [(r["vec_id"], r["embedding"]) for r in odd_vectors.collect() if r["vec_id"] is not None]
+    got = vd.near_duplicates(odd_vectors, exact=True)
+    assert sorted(tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()) == all_links(rows)
+    rng = np.random.default_rng(6)
+    many = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(rng, 400, 24, 0.28))], "vec_id long, embedding array<double>")
+    links = [df.agg({"n_links": "sum"}).head()[0] for df in (vd.near_duplicates(many, exact=True), vd.near_duplicates(many, passes=1, window=2))]
+    assert links[0] > links[1]
+
+
+def test_blocks_meet_across_tasks():
+    """Every row meets its `window` next neighbours, whichever tasks hold them."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((203, 3))
+    near = vd.near(x, x, 0.9)
+    for window, cuts in ((10, [0, 60, 75, 203]), (16, [0, 203]), (7, [0, 7, 14, 100, 203])):
+        met, edge = set(), {}
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            rows = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(a, b)), "dim": pa.array(np.full(b - a, 3, np.int32)), "v": pa.array(list(x[a:b])), "part": pa.array(np.full(b - a, part, np.int32))})
+            for out in vd._neighbours(iter([rows.slice(0, 5), rows.slice(5)]), 0.9, window):
+                for r in out.to_pylist():
+                    met.add((r["u"], r["w"])) if r["w"] is not None else edge.setdefault(r["part"] - r["head"], []).append(r)
+        for rows in edge.values():
+            table = pa.Table.from_pylist([{k: r[k] for k in ("head", "u", "dim", "v")} for r in rows], schema=pa.schema([("head", pa.bool_()), ("u", pa.int64()), ("dim", pa.int32()), ("v", pa.list_(pa.float64()))]))
+            met |= set(map(tuple, zip(*vd._border(None, table, 0.9).to_pydict().values())))
+        label = list(range(203))
+
+        def root(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        reach = near.astype(int)
+        while not np.array_equal(reach, more := ((reach @ reach) > 0).astype(int)):
+            reach = more
+        for u, v in met:
+            assert reach[u, v]
+            label[max(root(u), root(v))] = min(root(u), root(v))
+        for i in range(203):
+            for j in range(i + 1, min(203, i + window + 1)):
+                assert not near[i, j] or root(i) == root(j), (window, i, j)
+
+
 def test_no_vectors(spark, odd_vectors):
     assert vd.near_duplicates(odd_vectors.filter("false")).count() == 0
     assert vptree.nearest(odd_vectors, odd_vectors.filter("false"), 3).count() == 0
