@@ -8,11 +8,14 @@ are the words of a covering code: the Hamming code on its low 31 bits, the last
 bit (the covering radius) of an anchor, its home. A fingerprint is replicated to all anchors within 1 + 1 bits of its
 half (at most 17 of 2**27), so whatever is within one bit of a half meets it at its home. Fingerprints are compared per
 anchor, homes against visitors, and only a spanning forest of the links leaves a task. Nothing is capped: an anchor
-that is home to many has its homes cut into chunks and its visitors sent to every chunk.
-
-Equal fingerprints are one from the start. Null text has no words. Null doc_ids are fingerprinted and linked but give
-no component its name unless it has no other; rows that share a doc_id are kept as they are. Empty tables give empty
-results; other columns are ignored.
+that is home to many has its homes cut into chunks, one with many visitors these as well, and every chunk of homes
+meets every chunk of visitors.
+
+Equal fingerprints are one from the start. Null and empty texts have no words; long texts are read whole. A bit set in
+exactly half of the shingles is 0. Null doc_ids are fingerprinted and linked but give no component its name unless it has
+no other; rows that share a doc_id are kept as they are, and equal rows get equal results. Empty tables give empty
+results; other columns are ignored by near_duplicates() and pass through keep_one(), where of rows that share the least
+doc_id that with the least hash of its text stays.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SEED = 42
 THRESHOLD = 3
 #: Homes of an anchor in one chunk.
 CHUNK = 2048
+#: Fingerprints at an anchor in one chunk of visitors.
+VISITORS = 1 << 15
 #: Pairs compared at a time.
 PAIRS = 1 << 21
 
@@ -154,12 +159,16 @@ def _compare(batches):
 def link(prints: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Distinct fingerprints (fp) to (node, root): the components at up to THRESHOLD differing bits, without the roots."""
     spots = scratch.save(prints.mapInArrow(_anchors, "anchor long, fp long, home boolean"), "spots")
-    crowded = scratch.save(spots.filter("home").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK).select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "crowded")
+    counts = spots.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
+    crowded = counts.filter((F.col("homes") > CHUNK) | (F.col("homes") > 0) & (F.col("n") > VISITORS))
+    crowded = scratch.save(crowded.select("anchor", F.ceil(F.col("homes") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("n") / VISITORS).cast("int").alias("columns")), "crowded")
     if crowded.head(1):
-        spots = spots.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.hash("fp"), F.col("parts"))
-        spots = spots.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "fp", F.col("home"), own.alias("own"))
-        spots = spots.select("anchor", "chunk", "fp", (F.col("home") & (F.col("own") == F.col("chunk"))).alias("home"))
+        # A grid of chunks: a home is in all of its row, anyone in all of its column.
+        spots = spots.join(crowded, "anchor", "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+        row, column = F.pmod(F.hash("fp"), F.col("rows")), F.pmod(F.xxhash64("fp"), F.col("columns")).cast("int")
+        along = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct((i * F.col("columns") + column).alias("chunk"), (F.col("home") & (i == row)).alias("home")))
+        across = F.transform(F.filter(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.col("home") & (j != column)), lambda j: F.struct((row * F.col("columns") + j).alias("chunk"), F.lit(True).alias("home")))
+        spots = spots.select("anchor", "fp", F.explode(F.concat(along, across)).alias("s")).select("anchor", "s.chunk", "fp", "s.home")
     else:
         spots = spots.select("anchor", F.lit(0).alias("chunk"), "fp", "home")
     parts = max(common.spread(prints), -(-prints.count() * 34 // 400_000))

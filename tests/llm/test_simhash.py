@@ -46,8 +46,9 @@ def crowd(rng, n):
 
 def test_linking_loses_nothing(spark, monkeypatch):
     rng = random.Random(9)
-    for chunk in (2048, 3):  # a small one makes nearly every anchor crowded
+    for chunk, visitors in ((2048, 1 << 15), (3, 1 << 15), (2, 5), (100, 4)):  # small ones make nearly every anchor crowded
         monkeypatch.setattr(simhash, "CHUNK", chunk)
+        monkeypatch.setattr(simhash, "VISITORS", visitors)
         prints = np.array(crowd(rng, 400), np.uint64)
         df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
         common.ship(spark)
