@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BLOCK_ROWS, PACK_ROWS
+from ..config import BLOCK_ROWS, PACK_ROWS, shared_dir
+
+
+def _drop(spark, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone by then
+        pass
 
 
 def number_lines(df: DataFrame, order: list[str], column: str = "line_no", start: int = 0) -> DataFrame:
     """Number rows from `start` in the order of some columns, without ever bringing all rows to one task.
 
-    A range sort places rows; one count a partition goes to the driver and comes back as the partition's offset. The
-    order must be total for the numbers to be the same every time.
+    A range sort places rows and writes them to the shared folder, as the sort's cut points come from a sample and the
+    partitions must be those that were counted; a lost executor costs no more than what reads them. One count a partition
+    goes to the driver and comes back as the partition's offset. The order must be total for the numbers to be the same
+    every time. What is written stays until the driver ends.
     """
     spark = df.sparkSession
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.persist()  # the sort's cut points come from a sample: partitions must be those that were counted
+    path = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
     starts, at = [], start

@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POSTING_CHUNK
+from ..plans.compile import BLOCK
 
 
 def postings(lines: DataFrame, key: list[str], tokens: str = "tokens") -> DataFrame:
     """(term, *key): one row for each distinct token of each line."""
-    return lines.select(*key, F.explode(tokens).alias("term")).select("term", *key)
+    # The outer form, as Spark would guard the plain one by a filter that works the tokens out a second time.
+    return lines.select(*key, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull()).select("term", *key)
+
+
+def block_lists(lines: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(block_id, term, num_ids, ids): a list of ascending line ids for each term of each block, which bounds its length,
+    and a BLOCK row for each block with the number of its lines."""
+    lists = postings(lines, ["block_id", "line_id"], tokens).groupBy("block_id", "term").agg(F.sort_array(F.collect_list("line_id")).alias("ids"))
+    lists = lists.select("block_id", "term", F.size("ids").cast("long").alias("num_ids"), "ids")
+    blocks = lines.groupBy("block_id").agg(F.count("*").alias("num_ids"))
+    return lists.unionByName(blocks.select("block_id", F.lit(BLOCK).alias("term"), "num_ids", F.array().cast("array<int>").alias("ids")))
 
 
 def dictionary(index: DataFrame, by: list[str]) -> DataFrame:
@@ -55,7 +66,8 @@ def difference_ids(a: Column, b: Column) -> Column:
 
 
 def deltas(index: DataFrame, by: list[str], id_column: str) -> DataFrame:
-    """Every posting with its difference to the one before it in its list; the first counts from zero."""
+    """Every posting with its difference to the one before it in its list; the first counts from zero. `by` names a list:
+    with the block in it no list, and so no task, has more ids than a block has lines."""
     before = Window.partitionBy(*by).orderBy(id_column)
     return index.withColumn("delta", F.col(id_column) - F.coalesce(F.lag(id_column).over(before), F.lit(0)))
 
@@ -66,12 +78,22 @@ def undelta(coded: DataFrame, by: list[str], order: str) -> DataFrame:
     return coded.withColumn("id", F.sum("delta").over(upto))
 
 
+def bit_length(value: Column) -> Column:
+    return F.when(value == 0, 0).otherwise(F.length(F.bin(value.cast("long"))))
+
+
 def varint_bytes(value: Column) -> Column:
     """Bytes of a non-negative number at seven bits a byte."""
-    bits = F.when(value == 0, 1).otherwise(F.length(F.bin(value.cast("long"))))
-    return F.ceil(bits / 7).cast("long")
+    return F.ceil(F.greatest(bit_length(value), F.lit(1)) / 7).cast("long")
 
 
 def coded_size(index: DataFrame, by: list[str], id_column: str) -> DataFrame:
-    """num_ids and bytes of every posting list with all deltas as varints: a size model, as Parquet does the coding."""
-    return deltas(index, by, id_column).groupBy(*by).agg(F.count("*").alias("num_ids"), F.sum(varint_bytes(F.col("delta"))).cast("long").alias("bytes"))
+    """num_ids, num_chunks and bytes of every posting list, coded as chunks: POSTING_CHUNK deltas at the bits of the
+    largest, behind a byte that says how many; the rest as varints behind a byte and a count of four. A size model, as
+    Parquet does the coding.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(id_column)) - 1
+    coded = deltas(index, by, id_column).withColumn("chunk", F.floor(place / POSTING_CHUNK))
+    parts = coded.groupBy(*by, "chunk").agg(F.count("*").alias("n"), F.max("delta").alias("most"), F.sum(varint_bytes(F.col("delta"))).alias("varints"))
+    size = F.when(F.col("n") == POSTING_CHUNK, 1 + POSTING_CHUNK // 8 * bit_length(F.col("most"))).otherwise(5 + F.col("varints"))
+    return parts.groupBy(*by).agg(F.sum("n").alias("num_ids"), F.count("*").alias("num_chunks"), F.sum(size).cast("long").alias("bytes"))

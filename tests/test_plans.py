@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from sievelog.functions.text import tokens
 from sievelog.operators.blocks import assign_blocks, block_metadata, number_lines
-from sievelog.operators.postings import coded_size, deltas, dictionary, postings, undelta
+from sievelog.operators.postings import block_lists, coded_size, deltas, dictionary, postings, undelta
 from sievelog.operators.search import SearchResult, matching, response, term_count, term_lines
-from sievelog.plans.compile import from_postings, predicate
+from sievelog.plans import compile
+from sievelog.plans.compile import from_lists, from_postings, predicate
 from sievelog.plans.query import And, Not, Or, Term, matches
 
 
@@ -26,11 +27,34 @@ def test_three_plans_agree_with_sets(spark):
     lines = spark.createDataFrame([(0, i, " ".join(sorted(t)).upper()) for i, t in enumerate(held)], "block_id long, line_id int, line string")
     stored = lines.withColumn("tokens", tokens("line")).cache()
     index = postings(stored, ["block_id", "line_id"]).cache()
+    lists = block_lists(stored).cache()
     ids = lambda df: sorted(r["line_id"] for r in df.select("line_id").collect())
     for _ in range(25):
         q = tree(rng)
         want = [i for i, t in enumerate(held) if matches(q, t)]
         assert ids(matching(lines, q)) == ids(stored.filter(predicate(q, F.col("tokens")))) == ids(from_postings(q, index, stored)) == want, str(q)
+        assert sorted(i for r in from_lists(q, lists).collect() for i in r["ids"]) == want, str(q)
+
+
+def test_deep_queries_run_as_programs(spark, monkeypatch):
+    """The machine for trees of any depth, on trees that the plain way can check."""
+    monkeypatch.setattr(compile, "DEEP", 1)
+    rng = random.Random(5)
+    held = [{w for w in "abcd" if rng.random() < 0.4} for _ in range(60)] + [set()]
+    stored = spark.createDataFrame([(i % 2, i // 2, " ".join(sorted(t))) for i, t in enumerate(held)], "block_id long, line_id int, line string").withColumn("tokens", tokens("line")).cache()
+    lists = block_lists(stored).cache()
+    for _ in range(10):
+        q = tree(rng)
+        want = sorted((i % 2, i // 2) for i, t in enumerate(held) if matches(q, t))
+        got = lambda df: sorted((r["block_id"], r["line_id"]) for r in df.collect())
+        assert got(matching(stored, q)) == got(stored.filter(predicate(q, F.col("tokens")))) == want, str(q)
+        assert sorted((r["block_id"], i) for r in from_lists(q, lists).collect() for i in r["ids"]) == want, str(q)
+
+
+def test_terms_are_tokenized_once(spark):
+    lines = spark.createDataFrame([(0, 0, "a b")], "block_id long, line_id int, line string")
+    plan = postings(lines.withColumn("tokens", tokens("line")), ["block_id", "line_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1, plan
 
 
 def test_pushdown(spark, tmp_path):
@@ -58,8 +82,10 @@ def test_posting_codes(spark):
     coded = deltas(index, ["term"], "id").withColumnRenamed("id", "place")
     assert undelta(coded, ["term"], "place").select("term", "id").exceptAll(index).count() == 0
     sizes = {r["term"]: r["bytes"] for r in coded_size(index, ["term"], "id").collect()}
-    assert sizes == {"one": 1, "two": 130, "three": 500}
-    assert coded_size(spark.createDataFrame([("x", 127), ("x", 127 + 128)], "term string, id long"), ["term"], "id").head()["bytes"] == 3
+    # A byte and sixteen for each bit of a full chunk's largest delta; a byte, a count of four and varints for the rest.
+    assert sizes == {"one": 5 + 1, "two": (1 + 16 * 2) + (5 + 2), "three": 3 * (1 + 16 * 2) + (5 + 116)}
+    assert coded_size(spark.createDataFrame([("x", 127), ("x", 127 + 128)], "term string, id long"), ["term"], "id").head()["bytes"] == 5 + 3
+    assert coded_size(spark.createDataFrame([("x", i) for i in range(127)] + [("x", 5000)], "term string, id long"), ["term"], "id").head()["bytes"] == 1 + 16 * 13
 
 
 def test_response(spark):

@@ -7,10 +7,12 @@ import urllib.parse
 import urllib.request
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievelog.__main__ import main
 from sievelog.config import Settings
 from sievelog.operators.store import Conflict, Store
+from sievelog.plans.query import matches, parse_query
 from sievelog.service import Service, serve
 from sievelog.sources.sockets import LineBuffer, LineServer, LineSource
 from sievelog.streaming.ingest import stream_into
@@ -97,10 +99,57 @@ def test_many_blocks_and_compaction(spark, tmp_path):
     places = [(r["block_id"], r["line_id"]) for r in store.lines().orderBy("block_id", "line_id").collect()]
     assert places == [(i // 50, i % 50) for i in range(210)]
     before = sorted(store.search("odd AND NOT 2", indexed=True).lines())
-    assert store.compact() == 3 and store.compact() == 0 and store.vacuum() > 0
+    assert store.compact() == 0 and store.compact(full=True) == 3 and store.compact(full=True) == 0 and store.vacuum() > 0
     assert sorted(store.search("odd AND NOT 2", indexed=True).lines()) == before and make(spark, tmp_path, 50).search("odd").total == 105
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexed_search_shuffles_no_postings_and_prunes(spark, tmp_path):
+    """Lists are met inside their buckets, by the terms asked for; lines of the first matches by their packs, and few rows read."""
+    store = Store(spark, f"file://{tmp_path}/store", Settings(block_rows=4000, pack_rows=100))
+    lines = spark.range(20_000).select("id", F.concat(F.lit("common w"), F.col("id") % 50, F.when(F.col("id") == 12_345, " rare").otherwise("")).alias("line"))
+    stored = store.ingest(lines, order=["id"])
+    assert stored == 20_000 and list(stored.flushed_blocks) == [0, 1, 2, 3, 4]
+    found = store.search("common AND w7 AND NOT rare", 10)
+    shown = plan(found.found)
+    assert "Exchange" not in shown and "In(term, [,common,rare,w7])" in shown and "Bucketed: true" in shown
+    assert found.total == 400 and found.lines()[:2] == ["common w7", "common w7"]
+    rare = store.search("rare", 10)
+    rows = rare.rows
+    assert "PushedFilters: [IsNotNull(block_id)" in plan(rows) or "EqualTo(block_id,3)" in plan(rows)
+    assert [r["line_id"] for r in rows.collect()] == [345] and rare.total == 1
+    scanned = [r for r in store.search("rare OR w7", 3).rows.select("block_id", "line_id").collect()]
+    assert [(r["block_id"], r["line_id"]) for r in scanned] == [(0, 7), (0, 57), (0, 107)]
+    again = Store(spark.newSession(), store.root, store.settings)
+    assert again.search("NOT common").total == 0 and again.search("NOT rare").total == 19_999 and "Exchange" not in plan(again.search("rare").found)
+
+
+def test_any_query_depth(spark, tmp_path):
+    store = make(spark, tmp_path, 3)
+    fill(spark, store, ["a", "b", "a b", "c", "a c"])
+    q = "a"
+    for i in range(300):
+        q = f"({q} OR zz) AND NOT (zz{i} AND c)" if i % 2 else f"NOT ({q} AND c)"
+    model = sorted(x for x in ["a", "b", "a b", "c", "a c"] if matches(parse_query(q), set(x.split())))
+    for indexed in (True, False):
+        assert sorted(store.search(q, indexed=indexed).lines()) == model
+    assert store.search("NOT " * 10_000 + "a").total == 3 and store.search("(" * 5_000 + "a" + ")" * 5_000).total == 3
+
+
+def test_compaction_by_tiers(spark, tmp_path):
+    """Only runs of segments of one size are merged, and every line is still found once."""
+    store = make(spark, tmp_path, 2)
+    fill(spark, store, [f"big {i}" for i in range(64)])
+    for k in range(3):
+        fill(spark, store, [f"small {k}", "small x"])
+    assert [s.lines for s in store.manifest.sealed] == [64, 2, 2, 2] and store.compact() == 0 and store.compact(fan_in=3) == 3
+    assert [s.lines for s in store.manifest.sealed] == [64, 6] and store.search("small").total == 6 and store.search("NOT small").total == 64
+    assert sorted(store.search("x").lines()) == ["small x"] * 3 and store.blocks().agg(F.sum("num_lines")).head()[0] == 70
+
+
 def test_batches_count_once(spark, tmp_path):
     store = make(spark, tmp_path, 10)
     assert fill(spark, store, ["a"], source="s", batch_id=0) == 1 and fill(spark, store, ["a"], source="s", batch_id=0) == 0
@@ -233,7 +282,8 @@ def test_process(spark, tmp_path, capsys):
 
 def test_http(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store", Settings(block_rows=3, search_limit=2))
-    server = serve(Service(spark, store), port=0)
+    service = Service(spark, store)
+    server = serve(service, port=0, most=1000)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_address[1]}"
 
@@ -253,4 +303,10 @@ def test_http(spark, tmp_path):
     assert call("/search", {"query": {"and": [{"term": "auth"}, {"not": {"term": "error"}}]}}) == (200, {"query": "auth AND (NOT error)", "count": 1, "total": 1, "results": ["auth ok"]})
     assert call("/search", {"query": {"no": 1}})[0] == 400 and call("/ingest", {"no": 1})[0] == 400 and call("/none")[0] == 404
     assert call("/")[0] == 200 and call("/ingest", []) == (200, {"ingested": 0})
+    assert find(query="error OR ok", limit=0)[1]["total"] == 3
+    service.full.wait(0)
+    assert wait(lambda: store.manifest.sealed_before == 1) and find(query="auth")[1]["results"] == ["auth error", "auth ok"]
+    with socket.create_connection(server.server_address) as s:  # refused before it is read
+        s.sendall(b"POST /ingest HTTP/1.0\r\nContent-Length: 2000\r\n\r\n")
+        assert b" 413 " in s.recv(100)
     server.shutdown()
