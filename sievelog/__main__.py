@@ -1,5 +1,8 @@
 """Run a store as a service: `python -m sievelog --root file:///data/logs [--http 8080] [--tcp 8081] [--udp 8082]`.
 
+The root, the host and the ports may also come from the environment: SIEVELOG_ROOT, SIEVELOG_HOST, SIEVELOG_HTTP,
+SIEVELOG_TCP, SIEVELOG_UDP; arguments go before them.
+
 All ports are bound before the store opens. On SIGINT or SIGTERM listeners stop, what they hold is stored, and the open
 block is sealed. On a cluster, start it with spark-submit and a root that all executors reach.
 """
@@ -7,6 +10,7 @@ block is sealed. On a cluster, start it with spark-submit and a root that all ex
 from __future__ import annotations
 
 import argparse
+import os
 import signal
 import threading
 
@@ -20,10 +24,11 @@ from .sources.sockets import LineServer
 
 def main(args: list[str] | None = None, stop: threading.Event | None = None) -> None:
     parser = argparse.ArgumentParser(prog="sievelog", description="A log store with full-text search.")
-    parser.add_argument("--root", required=True)
-    parser.add_argument("--host", default="127.0.0.1")
+    env = os.environ
+    parser.add_argument("--root", default=env.get("SIEVELOG_ROOT"), required="SIEVELOG_ROOT" not in env)
+    parser.add_argument("--host", default=env.get("SIEVELOG_HOST", "127.0.0.1"))
     for kind, port in (("http", 8080), ("tcp", 8081), ("udp", 8082)):
-        parser.add_argument(f"--{kind}", type=int, default=port)
+        parser.add_argument(f"--{kind}", type=int, default=env.get(f"SIEVELOG_{kind.upper()}", port))
     given = parser.parse_args(args)
     stop = stop or threading.Event()
     if threading.current_thread() is threading.main_thread():

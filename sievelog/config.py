@@ -15,6 +15,9 @@ TCP_BATCH_LINES = 1_000
 TCP_FLUSH_MS = 300
 DATAGRAM_BYTES = 65_536
 
+#: Bytes of a request's body that the service takes unless told otherwise.
+BODY_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
