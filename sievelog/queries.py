@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import socket
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,11 @@ from .operators import postings as ps
 from .operators.blocks import assign_blocks, block_metadata, number_lines
 from .operators.search import SearchResult, matching, response, term_count
 from .operators.store import Store
-from .plans.compile import fetch, from_postings, predicate
-from .plans.query import And, Not, Or, Query, Term, display, from_json, parse_query
+from .plans.compile import BLOCK, fetch, from_postings, predicate
+from .plans.query import And, Not, Or, Query, QueryError, Term, display, from_json, parse_query
+from .service import Service
 from .sources.bodies import from_array_body, from_datagrams, split_lines
+from .sources.sockets import LineServer
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +69,8 @@ _POSTINGS = f"(SELECT DISTINCT doc_id, unnest({_sql_list('text')}) AS term FROM
 
 
 def _exploded(spark, sf_dir, column, name):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(column).alias("pos", name))
+    # The outer form, as Spark would guard the plain one by a filter that works the tokens out a second time.
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(column).alias("pos", name)).filter(F.col("pos").isNotNull())
 
 
 @query(r"""SELECT doc_id, (generate_subscripts(t, 1) - 1)::INTEGER AS pos, unnest(t) AS token FROM
@@ -83,7 +88,7 @@ def normalize_tokens(spark, sf_dir):
 @query(f"SELECT doc_id, term FROM {_POSTINGS}")
 def tokenize_terms(spark, sf_dir):
     """The distinct terms of every document: the postings."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens("text")).alias("term"))
+    return ps.postings(table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tokens")), ["doc_id"]).select("doc_id", "term")
 
 
 @query(f"SELECT doc_id, coalesce(list_extract(t, 1), '') AS term FROM {_DOCS}")
@@ -268,16 +273,26 @@ for _name, _q in {"indexed_and_not": "the AND NOT of", "indexed_not": "NOT the",
     _add_indexed(_name, _q)
 
 
-@query(f"SELECT term, doc_id, (doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0))::BIGINT AS delta FROM {_POSTINGS}")
+#: Lists as a store has them: of each term in each block of 512 documents.
+_LISTED = f"(SELECT DISTINCT doc_id // 512 AS block_id, (doc_id % 512)::INTEGER AS line_id, unnest({_sql_list('text')}) AS term FROM documents)"
+_DELTAS = f"(SELECT *, line_id - coalesce(lag(line_id) OVER w, 0) AS delta, (row_number() OVER w - 1) // 128 AS chunk FROM {_LISTED} WINDOW w AS (PARTITION BY block_id, term ORDER BY line_id))"
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 512").alias("block_id"), (F.col("doc_id") % 512).cast("int").alias("line_id"), tokens("text").alias("tokens"))
+    return ps.postings(docs, ["block_id", "line_id"])
+
+
+@query(f"SELECT block_id, term, line_id, delta FROM {_DELTAS}")
 def posting_deltas(spark, sf_dir):
-    return ps.deltas(_index(spark, sf_dir), ["term"], "doc_id").select("term", "doc_id", "delta")
+    return ps.deltas(_listed(spark, sf_dir), ["block_id", "term"], "line_id").select("block_id", "term", "line_id", "delta")
 
 
-@query(f"SELECT DISTINCT term, doc_id AS id FROM {_POSTINGS}")
+@query(f"SELECT block_id, term, line_id::BIGINT AS id FROM {_LISTED}")
 def posting_roundtrip(spark, sf_dir):
     """Ids to deltas and back."""
-    coded = ps.deltas(_index(spark, sf_dir), ["term"], "doc_id")
-    return ps.undelta(coded, ["term"], "doc_id").select("term", "id")
+    coded = ps.deltas(_listed(spark, sf_dir), ["block_id", "term"], "line_id")
+    return ps.undelta(coded, ["block_id", "term"], "line_id").select("block_id", "term", "id")
 
 
 @query(f"SELECT term, (count(*) // 128)::BIGINT AS full_chunks, (count(*) % 128)::BIGINT AS rest FROM {_POSTINGS} GROUP BY term")
@@ -286,10 +301,18 @@ def posting_chunks(spark, sf_dir):
     return counts.select("term", F.floor(F.col("n") / 128).alias("full_chunks"), (F.col("n") % 128).alias("rest"))
 
 
-@query(f"""SELECT term, count(*) AS num_ids, sum(CASE WHEN delta < 128 THEN 1 WHEN delta < 16384 THEN 2 WHEN delta < 2097152 THEN 3 WHEN delta < 268435456 THEN 4 ELSE 5 END)::BIGINT AS bytes
-  FROM (SELECT term, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS delta FROM {_POSTINGS}) GROUP BY term""")
+@query(f"""SELECT block_id, term, sum(n)::BIGINT AS num_ids, count(*) AS num_chunks, sum(CASE WHEN n = 128 THEN 1 + 16 * len(ltrim(bin(most), '0')) ELSE 5 + varints END)::BIGINT AS bytes FROM
+  (SELECT block_id, term, chunk, count(*) AS n, max(delta) AS most, sum(CASE WHEN delta < 128 THEN 1 ELSE 2 END) AS varints FROM {_DELTAS} GROUP BY ALL) GROUP BY ALL""")
 def posting_size_model(spark, sf_dir):
-    return ps.coded_size(_index(spark, sf_dir), ["term"], "doc_id")
+    """Bytes of every list: full chunks at the bits of their largest delta, the rest as varints."""
+    return ps.coded_size(_listed(spark, sf_dir), ["block_id", "term"], "line_id")
+
+
+@query(f"SELECT block_id, term, count(*) AS num_ids, array_to_string(list(line_id ORDER BY line_id), ' ') AS ids FROM {_LISTED} GROUP BY ALL")
+def posting_lists(spark, sf_dir):
+    """The lists themselves, ascending."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 512").alias("block_id"), (F.col("doc_id") % 512).cast("int").alias("line_id"), tokens("text").alias("tokens"))
+    return ps.block_lists(docs).filter(F.col("term") != BLOCK).select("block_id", "term", "num_ids", F.array_join("ids", " ").alias("ids"))
 
 
 # Blocks
@@ -328,18 +351,18 @@ def block_term_df(spark, sf_dir):
     return ps.dictionary(ps.postings(lines, ["block_id", "line_id"]), ["block_id"])
 
 
-_TIERED = f"""(SELECT *, CASE WHEN block_id = (SELECT max(block_id) FROM {_BLOCKS}) THEN 0 WHEN block_id % 2 = 1 THEN 1 ELSE 2 END AS tier FROM {_BLOCKS})"""
+_TIERED = f"""(SELECT *, CASE WHEN (block_id + 1) * 256 > (SELECT count(*) FROM documents) THEN 0 WHEN block_id >= 2 THEN 1 ELSE 2 END AS tier FROM {_BLOCKS})"""
 
 
 @query(f"SELECT tier, block_id, line_id FROM (SELECT tier, block_id, line_id, {_sql_list('text')} AS t FROM {_TIERED}) WHERE list_contains(t, 'the') ORDER BY tier, block_id, line_id LIMIT 40")
 def tiered_search_order(spark, sf_dir):
-    """Active lines first, then flushing, then sealed; the limit is the operator."""
-    lines = _blocks(spark, sf_dir)
-    last = lines.agg(F.max("block_id").alias("last"))
-    tier = F.when(F.col("block_id") == F.col("last"), 0).when(F.col("block_id") % 2 == 1, 1).otherwise(2)
-    lines = lines.join(F.broadcast(last)).withColumn("tier", tier)  # one row
-    found = matching(lines, "the").select("tier", "block_id", "line_id", "line")
-    return SearchResult(found, ["tier", "block_id", "line_id"], 40).rows.drop("line")
+    """A store with two sealed blocks at most, then full ones not yet sealed, then an open one: the open one's lines come
+    first, then those not yet sealed; the limit is the operator."""
+    docs, store = table(spark, sf_dir, "documents"), _store(spark)
+    first = docs.orderBy("doc_id").limit(512)
+    store.ingest(first, "text", order=["doc_id"])
+    store.append(docs.join(first.select("doc_id"), "doc_id", "left_anti"), "text", order=["doc_id"])
+    return store.search("the", 40).rows.select("tier", "block_id", "line_id")
 
 
 @query(f"SELECT block_id, line_id, text AS line FROM (SELECT *, {_sql_list('text')} AS t FROM {_BLOCKS}) WHERE list_contains(t, 'the') AND NOT list_contains(t, 'of')")
@@ -350,21 +373,134 @@ def fetch_lines(spark, sf_dir):
     return fetch(lines, keys).select("block_id", "line_id", "line")
 
 
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
+
+
 @query("SELECT block_id FROM " + _BLOCKS + " GROUP BY block_id")
 def list_block_ids(spark, sf_dir):
     """Block ids as a store gives them after all is sealed."""
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
+    store = _store(spark)
     store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
     store.flush()
     return store.block_ids()
 
 
-@query(f"SELECT block_id, line_id FROM (SELECT block_id, line_id, {_sql_list('text')} AS t FROM {_BLOCKS}) WHERE {_sql_where(tree('the AND NOT of'))}")
+_STORED = f"SELECT block_id, line_id FROM (SELECT block_id, line_id, {_sql_list('text')} AS t FROM {_BLOCKS}) WHERE {_sql_where(tree('the AND NOT of'))}"
+
+
+@query(_STORED)
 def store_search(spark, sf_dir):
-    """The same search through a store: sealed blocks by their postings, the open block by its tokens."""
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Settings(block_rows=256, pack_rows=32))
+    """The same search through a store: sealed blocks by their lists, the open block by its tokens."""
+    store = _store(spark)
     store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
-    return store.search("the AND NOT of", indexed=True).matches.select("block_id", "line_id")
+    return store.search("the AND NOT of").matches.select("block_id", "line_id")
+
+
+@query(_STORED)
+def store_reopened(spark, sf_dir):
+    """A store closed and opened again from its files alone."""
+    store = _store(spark)
+    store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
+    store.flush()
+    return Store(spark, store.root, store.settings).search("the AND NOT of").matches.select("block_id", "line_id")
+
+
+@query(f"SELECT block_id, line_id, pack_id, md5(text) AS line_md5 FROM {_BLOCKS}")
+def store_lines(spark, sf_dir):
+    """Every line read back from the sealed files."""
+    store = _store(spark)
+    store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
+    store.flush()
+    return store.lines().select("block_id", "line_id", "pack_id", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
+
+
+@query(f"""SELECT b.block_id, num_lines, num_packs, data_size, CASE WHEN (b.block_id + 1) * 256 > (SELECT count(*) FROM documents) THEN 'active' ELSE 'sealed' END AS tier,
+  CASE WHEN (b.block_id + 1) * 256 > (SELECT count(*) FROM documents) THEN 0 ELSE idx_entries END AS idx_entries FROM
+  (SELECT block_id, count(*) AS num_lines, ceil(count(*) / 32)::INTEGER AS num_packs, sum(octet_length(encode(text)))::BIGINT AS data_size FROM {_BLOCKS} GROUP BY block_id) AS b
+  JOIN (SELECT block_id, count(DISTINCT term) AS idx_entries FROM (SELECT block_id, unnest({_sql_list('text')}) AS term FROM {_BLOCKS}) GROUP BY block_id) USING (block_id)""")
+def store_blocks(spark, sf_dir):
+    """What a store knows of its blocks: counted when they were sealed, or now if they are open."""
+    store = _store(spark)
+    store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
+    return store.blocks().drop("rows_per_pack")
+
+
+@query(f"""SELECT 'the of' AS query, least(count(*), 10)::BIGINT AS count, count(*) AS total,
+  array_to_string(list(text ORDER BY (n // 256 + 1) * 256 <= (SELECT count(*) FROM documents), n)[:10], chr(10)) AS results FROM
+  (SELECT text, n, {_sql_list('text')} AS t FROM {_BLOCKS}) WHERE {_sql_where(tree('the of'))}""")
+def service_search(spark, sf_dir):
+    """The answer of the service to a request with a limit, over a store: lines of the open block come first."""
+    store = _store(spark)
+    store.ingest(table(spark, sf_dir, "documents"), "text", order=["doc_id"])
+    answer = Service(spark, store).search("the of", 10)
+    return spark.createDataFrame([(answer["query"], answer["count"], answer["total"], "\n".join(answer["results"]))], "query string, count long, total long, results string")
+
+
+_SHOWN = {
+    "a AND b OR c": "(a AND b) OR c",
+    "not (a or b) c": "(NOT (a OR b)) AND c",
+    "NOT NOT a": "NOT (NOT a)",
+    "env=prod": "env AND prod",
+    "ERROR": "error",
+    "((a))": "a",
+    "a OR b OR c d": "a OR b OR (c AND d)",
+    "": "",
+}
+_REFUSED = ["(a OR b", "!!!", "a AND", "OR a", "a AND AND b", "NOT", "()", "a)"]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows) + ")"
+
+
+@query(f"SELECT query, shown, parses FROM {_values([(k, v, True) for k, v in _SHOWN.items()] + [(k, 'QueryError', False) for k in _REFUSED])} AS v(query, shown, parses)")
+def query_display(spark, sf_dir):
+    """Queries as they are shown once parsed, and those that are refused."""
+
+    def row(text: str) -> tuple:
+        try:
+            return text, display(parse_query(text)), True
+        except QueryError as e:
+            return text, type(e).__name__, False
+
+    return spark.createDataFrame([row(text) for text in [*_SHOWN, *_REFUSED]], "query string, shown string, parses boolean")
+
+
+@query("""SELECT given, set_default, CASE WHEN given IS NULL THEN set_default WHEN given = 0 THEN NULL ELSE given END AS resolved
+  FROM (VALUES (NULL), (0), (1), (5000)) AS g(given), (VALUES (0), (7), (1000)) AS d(set_default)""")
+def resolved_limits(spark, sf_dir):
+    """The limit that holds for a request: null for none."""
+    rows = [(given, default, Settings(search_limit=default).resolve_limit(given)) for given in (None, 0, 1, 5000) for default in (0, 7, 1000)]
+    return spark.createDataFrame(rows, "given int, set_default int, resolved int")
+
+
+_ENV = {"SIEVELOG_BLOCK_ROWS": "0", "SIEVELOG_PACK_ROWS": "12", "SIEVELOG_SEARCH_LIMIT": "x", "SIEVELOG_TCP_FLUSH_MS": "50"}
+
+
+@query(f"SELECT name, value FROM {_values([('block_rows', 1), ('pack_rows', 12), ('search_limit', 1000), ('tcp_batch_lines', 1000), ('tcp_flush_ms', 50)])} AS v(name, value)")
+def settings_from_env(spark, sf_dir):
+    """Settings given by the environment; what doesn't parse keeps its default, and blocks have a row at least."""
+    return spark.createDataFrame(list(asdict(Settings.from_env(_ENV)).items()), "name string, value int")
+
+
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE line <> '' GROUP BY line")
+def line_server(spark, sf_dir):
+    """The benchmark's lines sent to a TCP listener, stored as they come, and read back."""
+    store = _store(spark)
+    take = lambda lines: store.append(spark.createDataFrame([(x,) for x in lines], "line string"))
+    server = LineServer(take, "tcp")
+    try:
+        with socket.create_connection(("127.0.0.1", server.port)) as s:
+            for r in table(spark, sf_dir, "benchmark").select("text").toLocalIterator():
+                s.sendall(r["text"].encode() + b"\n")
+            s.shutdown(socket.SHUT_WR)
+            s.recv(1)  # nothing comes, once the listener has read all
+        for thread in server.threads[1:]:
+            thread.join()
+    finally:
+        server.stop()
+    return store.lines().groupBy("line").agg(F.count("*").alias("n"))
 
 
 # Sources
