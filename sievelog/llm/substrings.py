@@ -183,8 +183,8 @@ def _cut(batches):
 
 
 def shard_spans(rows: list[tuple]):
-    """(doc, key, same, copied, words) of a shard's variants to (key, same, copy, begin, end): what smaller documents of
-    the shard have of a variant, for its own document and, if it is copied, for larger ones that have it too."""
+    """(doc, key, same, copied, words) of a shard's variants to (key, same, owner, copy, begin, end): what smaller documents
+    of the shard have of a variant, for its own document and, if it is copied, for larger ones that have it too."""
     automaton, waiting, now = Automaton(), [], None
 
     def join():
@@ -193,7 +193,7 @@ def shard_spans(rows: list[tuple]):
         for key, same, copied, seq in waiting:
             if copied:
                 for a, b in automaton.spans(seq, WINDOW):
-                    yield key, same, True, a, b
+                    yield key, same, now, True, a, b
 
     for doc, key, same, copied, raw in sorted(rows):
         if doc != now:
@@ -201,13 +201,13 @@ def shard_spans(rows: list[tuple]):
             waiting, now = [], doc
         seq = np.frombuffer(raw, np.uint64).tolist()
         for a, b in automaton.spans(seq, WINDOW):
-            yield key, same, False, a, b
+            yield key, same, doc, False, a, b
         waiting.append((key, same, copied, seq))
     yield from join()
 
 
-_SPANS = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("copy", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32())])
-_SPANS_DDL = "key long, same long, copy boolean, begin int, end int"
+_SPANS = pa.schema([("key", pa.int64()), ("same", pa.int64()), ("owner", pa.int64()), ("copy", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32())])
+_SPANS_DDL = "key long, same long, owner long, copy boolean, begin int, end int"
 
 
 def _shards(batches):
@@ -313,8 +313,8 @@ def spans(docs: DataFrame, scratch: common.Scratch, once: bool = True) -> DataFr
             held = held.join(counts.withColumn("crowded", F.lit(True)), "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
             held = scratch.save(held, f"held{level}")
             # Wherever its owner has a crowded variant, it is cut finer.
-            own = scratch.apart(held.filter("crowded").select("key", "same", F.col("doc").alias("owner"), "words"), f"own{level}")
-            crowded = scratch.save(found.select("key", "same", "doc", "tag", "at").join(own, ["key", "same"]).filter("doc = owner").select("doc", "tag", "at", "words"), f"crowded{level}")
+            own = held.filter("crowded").select("key", "same", F.col("doc").alias("owner"), "words")
+            crowded = found.select("key", "same", "doc", "tag", "at").join(own, ["key", "same"]).filter("doc = owner").select("doc", "tag", "at", "words")
             group = F.when(F.col("crowded"), F.xxhash64("key", "same")).otherwise(F.col("key"))
             # Of a crowded variant that nobody else has in whole, nothing can be settled here.
             held = held.filter("copied or not crowded")
@@ -322,10 +322,9 @@ def spans(docs: DataFrame, scratch: common.Scratch, once: bool = True) -> DataFr
         held = held.select(group.alias("group"), "doc", "key", "same", "copied", "words").repartition(shards, "group")
         settled = scratch.save(held.mapInArrow(_shards, _SPANS_DDL), f"settled{level}")
         # What a shard found of a variant holds for all its cells: for its owner's own, and for those of larger documents.
-        owners = scratch.apart(settled.join(variants.select("key", "same", F.col("doc").alias("owner")), ["key", "same"]), f"owners{level}")
-        here = found.select("key", "same", "doc", "tag", "at").join(owners, ["key", "same"]).filter((F.col("doc") > F.col("owner")) == F.col("copy"))
+        here = found.select("key", "same", "doc", "tag", "at").join(settled, ["key", "same"]).filter((F.col("doc") > F.col("owner")) == F.col("copy"))
         here = scratch.save(here.select("doc", "tag", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end")), f"spans{level}")
-        scratch.drop(f"shared{level}", f"variants{level}", f"counts{level}", f"settled{level}", f"owners{level}", "cut0")
+        scratch.drop(f"variants{level}", f"counts{level}", f"settled{level}", "cut0", *(f"{name}{level - 1}" for name in ("shared", "held")))
         out = here if out is None else out.unionByName(here)
         if not split:
             break
