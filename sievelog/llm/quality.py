@@ -154,8 +154,9 @@ def marked(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Discriminant:
     """From (doc_id, text) and (doc_id, quality). The labels are bounded and so broadcast; texts stay where they are read."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = known.join(F.broadcast(marked(labels, per_class)), "doc_id").select("quality", "text").mapInArrow(_statistics, "quality int, x array<double>")
-    sums = rows.mapInArrow(_moments, "quality int, m array<double>")
+    rows = known.join(F.broadcast(marked(labels, per_class)), "doc_id").select("quality", "text")
+    # In one step: two in a row would hold two Python workers for every task.
+    sums = rows.mapInArrow(lambda batches: _moments(_statistics(batches)), "quality int, m array<double>")
     d = len(FEATURES)
     added = sums.groupBy("quality").agg(*(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(1 + d + d * d))).collect()
     return Discriminant({r[0]: np.array(r[1:], float) for r in added})
