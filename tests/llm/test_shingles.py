@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sievelog.llm import shingles, simhash
@@ -41,9 +42,9 @@ def family(rng, n):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_keep_one_finds_what_all_pairs_show(spark, monkeypatch, chunk):
-    monkeypatch.setattr(shingles, "CHUNK", chunk)
+@pytest.mark.parametrize("block", [shingles.BLOCK, 300])
+def test_keep_one_finds_what_all_pairs_show(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = random.Random(5)
     texts = [t for n in (60, 20, *[2] * 30, *[1] * 20) for t in family(rng, n)] + ["a b", "A  b", "a b c d", "a b c d e", "", None, " ", "x"]
     rng.shuffle(texts)
@@ -54,6 +55,19 @@ def test_keep_one_finds_what_all_pairs_show(spark, monkeypatch, chunk):
     assert len(bits) > len(want)  # three bits of 64 leave near-duplicates
 
 
+@pytest.mark.parametrize("slab, cells", [(shingles.SLAB, shingles.CELLS), (150, 400)])
+def test_matrices_count_like_sets(monkeypatch, slab, cells):
+    monkeypatch.setattr(shingles, "SLAB", slab)
+    monkeypatch.setattr(shingles, "CELLS", cells)
+    rng = random.Random(8)
+    made = [{hash(s) for s in shingle_set(t)} for n in (25, 10, 1, 1) for t in family(rng, n)] + [{7}, {7}, {8}]
+    sizes = np.array([len(s) for s in made])
+    x, first = np.concatenate([np.array(sorted(s), np.int64) for s in made]), np.cumsum(sizes) - sizes
+    rows, others = np.arange(0, len(made), 2), np.arange(0, len(made), 3)
+    found = {(int(u), int(v)) for a, b in shingles.near(x, first, sizes, rows, others) for u, v in zip(a, b)}
+    assert found == {(u, v) for u in rows.tolist() for v in others.tolist() if u != v and 5 * len(made[u] & made[v]) >= 4 * len(made[u] | made[v])}
+
+
 def test_similarity_of_exactly_four_fifths(spark):
     base = [f"v{i}" for i in range(13)]  # 9 shingles; 10 with one word more, of which 8 to 9 are shared
     texts = [" ".join(base), " ".join(base[1:] + ["z"]), " ".join(base[:-1] + ["y", "u"])]
