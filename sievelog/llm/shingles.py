@@ -3,10 +3,21 @@
 Words and lower case are SimHash's (`simhash.py`); fewer than five words make one shingle of all, none an empty set.
 Two texts are linked if their sets' Jaccard similarity is at least 0.8, checked over the whole sets (of 64-bit hashes).
 
-Texts of equal sets are one class from the start. Candidates share one of BANDS hashes of ROWS minima each, which
-misses a pair of similarity s with probability (1 - s**ROWS) ** BANDS: 3e-6 at 0.8, below 1e-8 from 0.85 up. In each
-group of a hash all are compared with its least member first, a number of pairs linear in the rows; then those of a
-group that are not in one component yet are compared with each other. No pairs are written for that: a group is cut into
+Candidates come from SimHash by anchor-point covering, with fingerprints wide enough for that similarity, at which a bit
+differs with a chance of 0.152. A bit is set if more of the shingles' hashes have it than not. A text has tables()
+fingerprints of two halves of HALF bits. Bit b of a shingle's hash is the parity of b and a number of BITS different ones,
+and a sign, so that votes() counts all bits by a Hadamard transform. The anchors of a half are the 2 * HALF words of a
+first-order Reed-Muller code, moved by a fixed word; balls of 56 bits around them cover all halves. A half's home is the
+anchor that most of its votes are for, so that a bit counts by its majority. Texts meet where both halves of a fingerprint
+have the same homes, and are compared there by one more fingerprint of 128 bits, of which DIFFER may differ. Measured, halves
+of texts at 0.8 share a home with a chance of 0.40 to 0.42, so that two such texts meet at none of 72 fingerprints with one of
+1e-6 to 2.5e-6, and at higher similarity with less. That over DIFFER bits differ was seen for one of 100,000 pairs of 4 and
+5 shingles with 4 in common, and for none of as many larger ones.
+
+Texts of equal sets are one class from the start. What is close by fingerprints at an anchor is a group, by the hash of its
+members; an anchor of over CROWD texts is a group as it is, with no fingerprints compared. In each group all are compared
+over whole sets with its least member first, a number of pairs linear in the rows; then those of a group that are not in one
+component yet are compared with each other. No pairs are written for that: a group is cut into
 blocks of about BLOCK shingles, every two blocks meet in one task, whose counts of common shingles are products of 0-1
 matrices, and a forest of the links leaves it. Groups of the same members are compared once, and none is cut short.
 Sets are made again from the texts for candidates only.
@@ -23,14 +34,19 @@ from . import common
 from .components import Forest, components
 
 WORDS = 5
-BANDS, ROWS = 24, 4
+#: Bits of half a fingerprint; votes counted at a time; differing bits of checking fingerprints that are compared further.
+HALF, BITS, DIFFER = 128, 1024, 44
+#: The chance that texts at the similarity are missed, that two of their halves have one home, and that a bit is the same.
+MISSED, SAME_HOME, SAME_BIT = 3e-6, 0.41, 0.848
+#: Texts at an anchor that are compared there; pairs compared at a time; rows of a task; texts fingerprinted at a time.
+CROWD, PAIRS, SPOTS, TEXTS = 2048, 1 << 19, 400_000, 1024
 #: Shingles of a group in one block, about.
 BLOCK = 1 << 19
 #: Shingles that one task compares, about; of a slab of its rows; and cells of a matrix.
 TASK, SLAB, CELLS = 1 << 21, 1 << 15, 1 << 22
 SEED = 29
 
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS + ROWS + BANDS * ROWS, np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -61,31 +77,121 @@ def sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return total[new], np.bincount(text[new], minlength=len(texts))
 
 
-def sketches(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each set, and the BANDS hashes of minima of each set that isn't empty."""
-    own, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
-    if not len(some):
-        return own, np.zeros((0, BANDS), np.uint64)
-    first = (np.cumsum(sizes) - sizes)[some]
-    own[some] = common.mix(np.add.reduceat(common.mix(x ^ _ODD[0]), first) + sizes[some].astype(np.uint64))
-    bands = np.empty((len(some), BANDS), np.uint64)
-    for band in range(BANDS):
-        total = np.full(len(some), band, np.uint64)
-        for row in range(ROWS):
-            total += np.minimum.reduceat(x * _ODD[WORDS + ROWS + band * ROWS + row], first) * _ODD[WORDS + row]
-        bands[:, band] = common.mix(total)
-    return own, bands
+def _hadamard(n: int) -> np.ndarray:
+    out = np.ones((1, 1), np.float32)
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+_INNER, _OUTER = _hadamard(HALF), _hadamard(BITS // HALF)
+#: The word that moves the code, as signs.
+_MOVED = np.random.default_rng(SEED + 1).choice(np.array([-1, 1], np.float32), HALF)
+
+
+def tables(n: int) -> tuple[int, int]:
+    """The number of fingerprints for n texts, and of bits that anchors have besides: 16 bits are fine for four million texts."""
+    bits = max(0, (n - 1).bit_length() - 22)
+    meet = SAME_HOME**2 * SAME_BIT**bits
+    each = BITS // (2 * HALF)
+    return each * int(np.ceil(np.log(MISSED) / np.log1p(-meet) / each)), bits
+
+
+def votes(x: np.ndarray, sizes: np.ndarray, turn: int) -> np.ndarray:
+    """For each set and each of BITS bits, by how much the shingles whose hash has the bit outnumber the others."""
+    odd = np.random.default_rng([SEED, turn]).integers(0, 1 << 64, dtype=np.uint64) | np.uint64(1)
+    hashed = x * odd
+    place = np.repeat(np.arange(len(sizes)) * BITS, sizes) + (hashed >> np.uint64(54)).astype(np.int64)
+    sign = 1.0 - 2.0 * (hashed >> np.uint64(53) & np.uint64(1)).astype(np.float64)
+    heaps = np.bincount(place, sign, len(sizes) * BITS).astype(np.float32).reshape(-1, HALF)
+    return _OUTER @ (heaps @ _INNER).reshape(len(sizes), BITS // HALF, HALF)
+
+
+def homes(counted: np.ndarray) -> np.ndarray:
+    """The number of the anchor that most of each half's votes are for."""
+    agree = (counted * _MOVED).reshape(-1, HALF) @ _INNER
+    best = np.abs(agree).argmax(axis=1)
+    return (2 * best + (agree[np.arange(len(best)), best] > 0)).reshape(counted.shape[:-1])
+
+
+def checking(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each set's checking fingerprint, as two words; every bit of a shingle's hash is its own, as small sets need."""
+    out, some = np.zeros((len(sizes), 2), np.uint64), np.flatnonzero(sizes)
+    if len(some):
+        first = (np.cumsum(sizes) - sizes)[some]
+        for word in (0, 1):
+            bits = np.unpackbits(common.mix(x ^ _ODD[1 + word]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            major = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > sizes[some][:, None]
+            out[some, word] = np.packbits(major, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out.view(np.int64)
+
+
+def fingerprints(x: np.ndarray, sizes: np.ndarray, n_tables: int, bits: int) -> np.ndarray:
+    """The anchor of each of a set's n_tables fingerprints."""
+    anchors = np.empty((len(sizes), n_tables), np.int32)
+    each = BITS // (2 * HALF)
+    for at in range(0, n_tables, each):
+        counted = votes(x, sizes, at)
+        home = homes(counted)
+        anchor = home[:, 0::2] * (2 * HALF) + home[:, 1::2]
+        for bit in range(bits):
+            anchor = 2 * anchor + (counted[:, 0::2, bit] > 0)
+        anchors[:, at : at + each] = anchor
+    return anchors
+
+
+def meet(spot: np.ndarray, own: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(own, key) of those that are close to another at their anchor, by the key of their group. check: two words of each."""
+    order = np.argsort(spot, kind="stable")
+    spot, own, check = spot[order], own[order], check[order]
+    start = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
+    size = np.diff(np.append(start, len(spot)))
+    crowded = np.flatnonzero(np.repeat(size > CROWD, size))
+    end = np.repeat(start + size, size)
+    rows = np.flatnonzero(np.repeat((size > 1) & (size <= CROWD), size))
+    after = end[rows] - rows - 1
+    work, at, found = np.cumsum(after), 0, Forest()
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + PAIRS)))
+        a, b = np.repeat(rows[at:upto], after[at:upto]), common.ragged(rows[at:upto] + 1, after[at:upto])
+        near = np.bitwise_count((check[a] ^ check[b]).view(np.uint64)).sum(axis=1, dtype=np.uint8) <= DIFFER
+        found.add(a[near], b[near])
+        at = upto
+    node, root = found.fold()
+    top = np.unique(root)
+    node, root = np.concatenate([node, top]), np.concatenate([root, top])
+    place, total = np.searchsorted(top, root), np.zeros(len(top), np.uint64)
+    np.add.at(total, place, common.mix(own[node].view(np.uint64)))
+    key = common.mix(total)[place].view(np.int64)
+    return np.concatenate([own[node], own[crowded]]), np.concatenate([key, spot[crowded]])
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _sketch(batches):
-    for part in common.chunks(batches):
+def _sketch(batches, n_tables: int, bits: int):
+    for part in (p.slice(i, TEXTS) for p in common.chunks(batches) for i in range(0, p.num_rows, TEXTS)):
         x, sizes = sets(part.column("text"))
-        own, bands = sketches(x, sizes)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(own.view(np.int64)), pa.array(sizes.astype(np.int64)), _lists(bands.ravel(), np.where(sizes > 0, BANDS, 0))], ["doc_id", "tag", "own", "size", "bands"])
+        first = np.cumsum(sizes) - sizes
+        own, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+        if len(some):
+            own[some] = common.mix(np.add.reduceat(common.mix(x ^ _ODD[0]), first[some]) + sizes[some].astype(np.uint64))
+        check, anchors = checking(x, sizes), fingerprints(x, sizes, n_tables, bits)
+        offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, n_tables, 0))]).astype(np.int32)
+        spots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(anchors[some].ravel()))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("tag"), pa.array(own.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(check[:, 0].copy()), pa.array(check[:, 1].copy()), spots],
+            ["doc_id", "tag", "own", "size", "low", "high", "anchors"],
+        )
+
+
+def _meet(batches):
+    held = [b for b in batches if b.num_rows]
+    if held:
+        spot, own, low, high = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("spot", "own", "low", "high"))
+        own, key = meet(spot, own, np.stack([low, high], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key)], ["own", "key"])
 
 
 def _sets(batches):
@@ -171,9 +277,17 @@ def linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     """doc_id, tag (a hash of the text) and root (a number of the component) of every row."""
     common.ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
-    rows = scratch.save(texts.mapInArrow(_sketch, "doc_id long, tag long, own long, size long, bands array<long>"), "sketches")
-    classes = scratch.save(rows.groupBy("own").agg(F.min("tag").alias("tag"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
-    spots = classes.select("own", "size", F.explode("bands").alias("key"))
+    n = docs.count()
+    n_tables, bits = tables(n)
+    made = texts.mapInArrow(lambda b: _sketch(b, n_tables, bits), "doc_id long, tag long, own long, size long, low long, high long, anchors array<int>")
+    rows = scratch.save(made, "sketches")
+    firsts = (F.first(c).alias(c) for c in ("size", "low", "high", "anchors"))
+    classes = scratch.save(rows.groupBy("own").agg(F.min("tag").alias("tag"), *firsts), "classes")
+    spots = classes.select("own", "low", "high", F.posexplode("anchors").alias("i", "anchor"))
+    spots = spots.select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("anchor")).alias("spot"), "own", "low", "high")
+    met = spots.repartition(max(common.spread(docs), -(-n * n_tables // SPOTS)), "spot").mapInArrow(_meet, "own long, key long")
+    met = scratch.save(met.distinct(), "met")
+    spots = met.join(classes.select("own", "size"), "own")
     groups = spots.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("own", "size")).alias("lead")).filter("n > 1")
     groups = scratch.save(groups.select("key", "n", F.col("lead.own").alias("lead"), F.col("lead.size").alias("lead_size")), "groups")
     spots = scratch.save(spots.join(groups, "key"), "spots")
@@ -203,5 +317,5 @@ def linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
         further = scratch.save(met.mapInArrow(_blocks, "u long, v long"), "further")
         found = components(edges.union(further), scratch, "all")
     named = scratch.save(classes.join(found, F.col("own") == F.col("node"), "left").select(F.col("own").alias("_own"), F.coalesce("root", "own").alias("root")), "named")
-    scratch.drop("spots", "groups", "pairs", "wanted", "sets", "labelled", "left")
+    scratch.drop("met", "spots", "groups", "pairs", "wanted", "sets", "labelled", "left")
     return rows.join(named, rows["own"] == named["_own"]).select("doc_id", "tag", "root")
