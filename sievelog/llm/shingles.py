@@ -15,11 +15,16 @@ of texts at 0.8 share a home with a chance of 0.40 to 0.42, so that two such tex
 5 shingles with 4 in common, and for none of as many larger ones.
 
 Texts of equal sets are one class from the start. What is close by fingerprints at an anchor is a group, by the hash of its
-members; an anchor of over CROWD texts is a group as it is, with no fingerprints compared. In each group all are compared
+members; an anchor of over CROWD texts is a group as it is, with no fingerprints compared. A family of many texts close to each
+other would be in a group for each fingerprint, with much the same members. What is close by the first FEW fingerprints is
+therefore one bundle, unless all its pairs are over WIDER times those that its groups would have by all fingerprints, and a group
+at an anchor of the others only adds those of its members to a bundle that are not in it: no pair of a group is left out. In each
+group, bundle or not, all are compared
 over whole sets with its least member first, a number of pairs linear in the rows; then those of a group that are not in one
 component yet are compared with each other. No pairs are written for that: a group is cut into
 blocks of about BLOCK shingles, every two blocks meet in one task, whose counts of common shingles are products of 0-1
-matrices, and a forest of the links leaves it. Groups of the same members are compared once, and none is cut short.
+matrices, and a forest of the links leaves it. A group with much of all shingles is cut finer, for more tasks. Groups of the
+same members are compared once, and none is cut short.
 Sets are made again from the texts for candidates only.
 """
 
@@ -40,8 +45,10 @@ HALF, BITS, DIFFER = 128, 1024, 44
 MISSED, SAME_HOME, SAME_BIT = 3e-6, 0.41, 0.848
 #: Texts at an anchor that are compared there; pairs compared at a time; rows of a task; texts fingerprinted at a time.
 CROWD, PAIRS, SPOTS, TEXTS = 2048, 1 << 19, 400_000, 1024
-#: Shingles of a group in one block, about.
-BLOCK = 1 << 19
+#: Fingerprints that bundles are made by; texts that are a bundle at any rate; times the pairs of its groups a larger one may have.
+FEW, SMALL, WIDER = 8, 64, 4
+#: Shingles of a group in one block, about; the least that are worth one; and blocks of a group with nearly all shingles.
+BLOCK, FINE, FINER = 1 << 19, 1 << 15, 16
 #: Shingles that one task compares, about; of a slab of its rows; and cells of a matrix.
 TASK, SLAB, CELLS = 1 << 21, 1 << 15, 1 << 22
 SEED = 29
@@ -194,6 +201,51 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key)], ["own", "key"])
 
 
+def _groups(batches, meeting):
+    """A task's batches, (own, key) of what meets in it by `meeting`, in order and each once, and where groups begin and their sizes."""
+    held = [b for b in batches if b.num_rows]
+    met = [b for b in meeting(held) if b.num_rows]
+    own, key = (np.concatenate([b.column(c).to_numpy() for b in met] or [np.zeros(0, np.int64)]) for c in ("own", "key"))
+    order = np.lexsort((own, key))
+    own, key = own[order], key[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+    own, key = own[new], key[new]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return held, own, key, start, np.diff(np.append(start, len(key)))
+
+
+def _led(batches, meeting):
+    """What meets, with the least member and the size of its group."""
+    _, own, key, start, size = _groups(batches, meeting)
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key), pa.array(np.repeat(own[start], size)), pa.array(np.repeat(size, size))], ["own", "key", "lead", "n"])
+
+
+def beside(own: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, bundle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(own, key) of groups, where a group with members of bundles (0: none) is those it adds to the bundle that has most of them."""
+    group = np.repeat(np.arange(len(start)), size)
+    inside = np.flatnonzero(bundle)
+    inside = inside[np.lexsort((bundle[inside], group[inside]))]
+    new = np.ones(len(inside), bool)
+    new[1:] = (group[inside][1:] != group[inside][:-1]) | (bundle[inside][1:] != bundle[inside][:-1])
+    first = np.flatnonzero(new)
+    first = inside[first[np.argsort(np.diff(np.append(first, len(inside))), kind="stable")]]
+    main = np.zeros(len(start), np.int64)
+    main[group[first]] = bundle[first]  # the last of a group counts, which has the most
+    main = main[group]
+    adds = (main == 0) | (bundle != main)
+    return own[adds], np.where(main == 0, key, main)[adds]
+
+
+def _beside(batches, meeting):
+    held, own, key, start, size = _groups(batches, meeting)
+    if len(own):
+        ids, bundles = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("own", "bundle"))
+        ids, at = np.unique(ids, return_index=True)
+        own, key = beside(own, key, start, size, bundles[at][np.searchsorted(ids, own)])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key)], ["own", "key"])
+
+
 def _sets(batches):
     for part in common.chunks(batches):
         yield pa.RecordBatch.from_arrays([part.column("own"), _lists(*sets(part.column("text")))], ["own", "set"])
@@ -273,6 +325,30 @@ def _alike(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def _candidates(classes: DataFrame, n: int, n_tables: int, scratch: common.Scratch) -> DataFrame:
+    """(own, key) of all groups of two or more that are to be compared: bundles with what is close to them, and the other groups."""
+    meeting = _meet
+
+    def met(rows: DataFrame, at: int, upto: int, task, schema: str) -> DataFrame:
+        spots = rows.select("*", F.posexplode(F.slice("anchors", at + 1, upto - at)).alias("i", "anchor"))
+        spots = spots.withColumn("spot", F.shiftleft(F.col("i").cast("long"), 32) + F.col("anchor")).drop("i", "anchor", "anchors")
+        spots = spots.repartition(max(common.spread(classes), -(-n * (upto - at) // SPOTS)), "spot")
+        return spots.mapInArrow(lambda b: task(b, meeting), schema).distinct()
+
+    rows = classes.select("own", "low", "high", "anchors")
+    led = scratch.save(met(rows, 0, FEW, _led, "own long, key long, lead long, n long"), "led")
+    near_ones = components(led.select(F.col("own").alias("u"), F.col("lead").alias("v")), scratch, "close")
+    close = led.groupBy("own").agg(F.sum("n").alias("work")).join(near_ones, F.col("own") == F.col("node"), "left")
+    close = scratch.save(close.select("own", F.coalesce("root", "own").alias("root"), "work"), "near")
+    sums = close.groupBy("root").agg(F.count("*").cast("double").alias("m"), F.sum("work").alias("work"))
+    bundles = sums.filter((F.col("m") <= SMALL) | (F.col("m") * F.col("m") * FEW <= F.col("work") * WIDER * n_tables))
+    bundles = scratch.apart(bundles.select("root", F.xxhash64(F.lit("bundle"), "root").alias("bundle")), "bundles")
+    bundled = scratch.save(close.join(bundles, "root").select("own", "bundle"), "bundled")
+    rows = rows.join(bundled, "own", "left").withColumn("bundle", F.coalesce("bundle", F.lit(0).cast("long")))
+    groups = met(rows, FEW, n_tables, _beside, "own long, key long").union(led.join(bundled, "own", "left_anti").select("own", "key"))
+    return groups.distinct().union(bundled)
+
+
 def linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     """doc_id, tag (a hash of the text) and root (a number of the component) of every row."""
     common.ship(docs.sparkSession)
@@ -283,10 +359,7 @@ def linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     rows = scratch.save(made, "sketches")
     firsts = (F.first(c).alias(c) for c in ("size", "low", "high", "anchors"))
     classes = scratch.save(rows.groupBy("own").agg(F.min("tag").alias("tag"), *firsts), "classes")
-    spots = classes.select("own", "low", "high", F.posexplode("anchors").alias("i", "anchor"))
-    spots = spots.select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("anchor")).alias("spot"), "own", "low", "high")
-    met = spots.repartition(max(common.spread(docs), -(-n * n_tables // SPOTS)), "spot").mapInArrow(_meet, "own long, key long")
-    met = scratch.save(met.distinct(), "met")
+    met = scratch.save(_candidates(classes, n, n_tables, scratch), "met")
     spots = met.join(classes.select("own", "size"), "own")
     groups = spots.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("own", "size")).alias("lead")).filter("n > 1")
     groups = scratch.save(groups.select("key", "n", F.col("lead.own").alias("lead"), F.col("lead.size").alias("lead_size")), "groups")
@@ -306,16 +379,18 @@ def linked(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
     members = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("own")).alias("h"), F.sum(F.xxhash64(F.lit(1), "own").cast("decimal(38,0)")).alias("s")]
     mixed = followers.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("size").alias("shingles"), *members).filter("x < y")
     mixed = mixed.groupBy("c", "h", "s").agg(F.min(F.struct("key", "shingles")).alias("g"))  # of groups with the same members, one
-    mixed = mixed.select("g.key", "g.shingles", F.ceil(F.col("g.shingles") / BLOCK).alias("blocks"))
-    mixed = scratch.apart(mixed, "mixed")
+    mixed = scratch.apart(mixed.select("g.key", "g.shingles"), "mixed")
+    every = mixed.agg(F.sum("shingles")).first()[0] or 1
+    finer = F.least(F.ceil(F.col("shingles") / FINE), F.ceil(F.col("shingles") / every * FINER))
+    mixed = mixed.withColumn("blocks", F.greatest(F.ceil(F.col("shingles") / BLOCK), finer))
     moved = mixed.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0]
     if moved:
         left = scratch.save(followers.join(mixed, "key").select("key", "own", "blocks", F.pmod(F.xxhash64("own"), F.col("blocks")).alias("block")), "left")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
         met = left.select("key", "own", "block", other).select("key", "own", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        met = met.join(made, "own").repartition(max(common.spread(docs), -(-moved // TASK)), "key", "i", "j")
+        met = met.join(made, "own").repartitionByRange(max(common.spread(docs), -(-moved // TASK)), "key", "i", "j")  # as even as can be
         further = scratch.save(met.mapInArrow(_blocks, "u long, v long"), "further")
         found = components(edges.union(further), scratch, "all")
     named = scratch.save(classes.join(found, F.col("own") == F.col("node"), "left").select(F.col("own").alias("_own"), F.coalesce("root", "own").alias("root")), "named")
-    scratch.drop("met", "spots", "groups", "pairs", "wanted", "sets", "labelled", "left")
+    scratch.drop("led", "near", "bundles", "bundled", "met", "spots", "groups", "pairs", "wanted", "sets", "labelled", "left")
     return rows.join(named, rows["own"] == named["_own"]).select("doc_id", "tag", "root")
